@@ -38,6 +38,11 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(col(df, old).alias(new) for new, old in columns.items()))
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1, …, and what the named ones are called there: no name of the caller's can clash."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{df.columns.index(n)}" for n in names]
+
+
 def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows, so the bytes, of an Arrow batch of whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

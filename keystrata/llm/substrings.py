@@ -230,7 +230,7 @@ def repeated_passages(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     return repeated_windows(docs, k, m).select("doc_id", F.col("a").cast("long").alias("start_word"), (F.col("b") - F.col("a") + k - 1).cast("long").alias("n_words"), "first", "copies")
 
 
-def _cut_text(k: int):
+def _cut_text(k: int, text_column: str):
     def cut(text: bytes, runs) -> str:
         w = T.spans(~T.SPACE[np.frombuffer(text, np.uint8)], np.array([0, len(text)]))
         gone = np.zeros(len(w.start) + 1, np.int32)
@@ -247,16 +247,16 @@ def _cut_text(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            at = names.index("text")
-            texts = batch["text"].to_pylist()
+            at = names.index(text_column)
+            texts = batch[text_column].to_pylist()
             emptied = np.zeros(len(texts), bool)
-            for i, runs in enumerate(batch["__runs"].to_pylist()):
+            for i, runs in enumerate(batch["runs"].to_pylist()):
                 if runs:
                     texts[i] = cut(texts[i].encode(), runs)
                     emptied[i] = not texts[i]
             columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, batch["text"].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(emptied)], [*names[:-1], "__emptied"])
+            columns[at] = pa.array(texts, batch[text_column].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(emptied)], [*names[:-1], "emptied"])
 
     return run
 
@@ -266,9 +266,12 @@ def drop_later_copies(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     A text that loses all its words goes with its row; one that had none stays. The pieces around a removed passage are joined by a line break.
     """
-    later = repeated_windows(docs, k, m).filter(~F.col("first")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("__runs"))
-    later = later.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__runs")
-    text = common.col(docs, "text")
-    both = docs.join(later, (common.col(docs, "doc_id").cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left").drop("__id", "__key")
-    kept = both.mapInArrow(_cut_text(k), StructType([*docs.schema.fields, StructField("__emptied", BooleanType())])).filter(~F.col("__emptied")).drop("__emptied")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    later = repeated_windows(docs, k, m).filter(~F.col("first")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    later = later.select(F.col("doc_id").alias("id"), "key", "runs")
+    plain, (doc_id, text) = common.numbered(docs, "doc_id", "text")
+    both = plain.join(later, (F.col(doc_id).cast("long") == F.col("id")) & (F.xxhash64(text) == F.col("key")), "left").drop("id", "key")
+    kept = both.mapInArrow(_cut_text(k, text), StructType([*plain.schema.fields, StructField("emptied", BooleanType())])).filter(~F.col("emptied")).drop("emptied")
+    if "n_chars" in docs.columns:
+        (n_chars,) = common.numbered(docs, "n_chars")[1]
+        kept = kept.withColumn(n_chars, F.length(text).cast(docs.schema["n_chars"].dataType))
+    return kept.toDF(*docs.columns)
