@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the folder is the session's spark.checkpoint.dir; a local one only where that is unset."""
-    sc = spark.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, where all executors read and write; a local folder only where that is unset and the session is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if named is None and not sc.master.startswith("local"):
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keystrata-"))
+        named = tempfile.mkdtemp(prefix="keystrata-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: later steps don't recompute it, and the loss of an executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, written as a table in the shared folder: later steps read it, column by column, and the loss of an executor loses nothing."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def col(df: DataFrame, name: str) -> Column:

@@ -26,23 +26,14 @@ from keystrata.llm import common, text as T
 
 K = 50
 M = 5
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PACKED = "bucket long, doc_id long, key long, start int, twice boolean, packed binary"
 RUNS = "doc_id long, key long, a int, b int, first boolean, copies long"
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def _fingerprints(h: np.ndarray, k: int) -> np.ndarray:
     """Of each k consecutive hashes."""
-    n = len(h)
-    total = np.concatenate((np.zeros(1, T.U), np.cumsum(h * _powers(_BASE, n), dtype=T.U)))
-    return T.mix((total[k:] - total[:-k]) * _powers(_INVERSE, n - k + 1))
+    at = np.arange(len(h) - k + 1)
+    return T.rolled(T.prefix(h), at, at + k)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:

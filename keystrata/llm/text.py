@@ -31,7 +31,6 @@ def stream(n: int, seed: int) -> np.ndarray:
 
 
 _BYTE = stream(256, 1) | U(1)
-_POS = stream(64, 2) | U(1)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -104,19 +103,35 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(start, np.flatnonzero(ends) + 1, np.repeat(np.arange(len(size)), np.diff(first)), first)
 
 
-def hashes(data: np.ndarray, w: Words, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each word's bytes: multilinear over positions, a polynomial in blocks of 64 bytes for longer ones."""
-    if not len(w.start):
-        return np.empty(0, U)
-    length = w.end - w.start
-    at = np.repeat(w.start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
-    within = at - np.repeat(w.start, length)
-    value = _BYTE[data[at]] * _POS[within & 63]
-    if int(length.max()) > 64:
-        far = within > 63
-        value[far] = mix(value[far] + stream(1, 3)[0] * (within[far] >> 6).astype(U))
-    total = np.add.reduceat(value, np.concatenate(([0], np.cumsum(length)[:-1])))
-    return mix(total + length.astype(U) * U(0x9E3779B97F4A7C15) + U(seed))
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse modulo 2 ** 64; kept for the next call."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            out = np.full(max(n, CHUNK + 1), base, U)
+            out[0] = 1
+            _powers[i] = np.multiply.accumulate(out)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix(values: np.ndarray) -> np.ndarray:
+    """Sums of values[i] * base ** i before each place; the hash of a stretch is rolled() of its two ends."""
+    out = np.zeros(len(values) + 1, U)
+    np.cumsum(values * powers(len(values))[0], out=out[1:])
+    return out
+
+
+def rolled(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each stretch, the same wherever it stands."""
+    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
+
+
+def hashes(data: np.ndarray, w: Words) -> np.ndarray:
+    """64-bit hash of each word's bytes."""
+    return rolled(prefix(_BYTE[data]), w.start, w.end) if len(w.start) else np.empty(0, U)
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
