@@ -6,21 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import minhash, substrings
+from keystrata.llm import langid, minhash, quality, substrings
 from keystrata.llm.common import table
 
 
+def op1_word_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.word_languages(docs, langid.train(docs))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.document_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_word_languages": op1_word_languages,
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_document_quality": op3_document_quality,
         "op5_repeated_passages": op5_repeated_passages,
     }
 
