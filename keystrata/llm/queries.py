@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import langid, minhash, quality, substrings
+from keystrata.llm import bpe, langid, minhash, quality, substrings
 from keystrata.llm.common import table
 
 
@@ -28,12 +28,18 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_word_languages": op1_word_languages,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_document_quality": op3_document_quality,
         "op5_repeated_passages": op5_repeated_passages,
+        "op9_bpe": op9_bpe,
     }
 
 
