@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import bpe, langid, minhash, quality, substrings
+from keystrata.llm import bpe, chat, langid, metric, minhash, mixing, quality, sharding, substrings
 from keystrata.llm.common import table
 
 
@@ -24,24 +24,55 @@ def op3_document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.segments(table(spark, sf_dir, "conversations"))
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents"))
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+
+def op10_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_word_languages": op1_word_languages,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_document_quality": op3_document_quality,
+        "op4_chat_segments": op4_chat_segments,
         "op5_repeated_passages": op5_repeated_passages,
+        "op6_mixture": op6_mixture,
+        "op7_near_vectors": op7_near_vectors,
+        "op8_neighbours": op8_neighbours,
         "op9_bpe": op9_bpe,
+        "op10_shuffled_shards": op10_shuffled_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_chat_segments": chat.SEGMENTS_SQL,
+        "op6_mixture": mixing.SAMPLE_SQL,
+        "op7_near_vectors": metric.PAIRS_SQL,
+        "op8_neighbours": metric.NEIGHBOURS_SQL,
+    }
