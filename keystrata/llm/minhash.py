@@ -8,7 +8,8 @@ least rank is the coordinate's value. Two texts agree in a coordinate with the p
 similarity. A text with a coordinate that no dart hit gets twice the bound until all are hit.
 
 Texts that agree in a whole band of coordinates are candidates. In each bucket, every text is held against the least id by
-the whole signature; those that aren't similar to it are held against the least of the rest, and so on until none is left.
+the whole signature; those that aren't similar to it go, in order of their ids, against each other: a text against all
+before it that were similar to none.
 Groups are the connected components of the similar pairs; the least id of a group stands for it.
 
 Words are runs of letters and digits (all bytes beyond ASCII count as letters). A text of one word is that word; null texts
@@ -129,38 +130,77 @@ def _sign(bands: int, rows: int):
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Share of the coordinates that packed signatures agree in, without the 1 in 16 that do by chance."""
+    z = x ^ y
+    same = ((z & 240) == 0).sum(-1) + ((z & 15) == 0).sum(-1) - k % 2
+    return (same / k - 1 / 16) / (15 / 16)
+
+
+def _packed(column: pa.Array, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), (k + 1) // 2)
+
+
 def _agree(k: int, similar: float):
-    def agree(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), (k + 1) // 2) for v in (a, b))
-        z = x ^ y
-        same = ((z & 240) == 0).sum(1) + ((z & 15) == 0).sum(1) - k % 2
-        # 4 bits of unequal values agree once in 16
-        return pa.array((same / k - 1 / 16) / (15 / 16) >= similar)
+    return F.arrow_udf(lambda a, b: pa.array(_alike(_packed(a, k), _packed(b, k), k) >= similar), BooleanType())
 
-    return F.arrow_udf(agree, BooleanType())
+
+def _lead(k: int, similar: float):
+    """Of rows in order of bucket: each text with every earlier one of its bucket that it is like, of those that were like none before them."""
+
+    def links(ids: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
+        leads = np.empty_like(sig)
+        who: list[int] = []
+        for i, x in zip(ids.tolist(), sig):
+            found = np.flatnonzero(_alike(leads[: len(who)], x, k) >= similar).tolist()
+            yield from ((max(i, who[j]), min(i, who[j])) for j in found)
+            if not found:
+                leads[len(who)] = x
+                who.append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
+
+        def done() -> list[tuple[int, int]]:
+            return list(links(*(np.concatenate(a) for a in zip(*held)))) if sum(len(a) for a, _ in held) > 1 else []
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            bucket, ids, sig = batch["bucket"].to_numpy(), batch["doc_id"].to_numpy(), _packed(batch["sig"], k)
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            out: list[tuple[int, int]] = []
+            for a, b in zip(edges, edges[1:]):
+                if bucket[a] != last:
+                    out += done()
+                    held, last = [], bucket[a]
+                held.append((ids[a:b], sig[a:b]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["doc_id", "lead"])
+        if out := done():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["doc_id", "lead"])
+
+    return run
 
 
 def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, lead) of near duplicates, lead < doc_id; enough of them to connect each group."""
-    common.batch_rows(docs.sparkSession)
+    spark, k = docs.sparkSession, bands * rows
+    common.batch_rows(spark)
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     signed = common.cut(d.mapInArrow(_sign(bands, rows), "doc_id long, sig binary, bands array<long>"))
-    w = Window.partitionBy("bucket")
-    open_ = signed.select(F.explode("bands").alias("bucket"), "doc_id")
-    out: DataFrame | None = None
     sig = signed.select("doc_id", "sig")
-    agree = _agree(bands * rows, similar)
-    while True:
-        held = common.cut(open_.withColumn("lead", F.min("doc_id").over(w)).filter("doc_id <> lead"))
-        if held.isEmpty():
-            break
-        pairs = held.select("doc_id", "lead").distinct()
-        pairs = pairs.join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("lead"), F.col("sig").alias("other")), "lead")
-        judged = common.cut(pairs.withColumn("similar", agree("sig", "other")).select("doc_id", "lead", "similar"))
-        good = judged.filter("similar").select("doc_id", "lead").distinct()
-        out = good if out is None else out.union(good)
-        open_ = held.join(good, ["doc_id", "lead"], "left_anti").select("bucket", "doc_id")
-    return docs.sparkSession.createDataFrame([], "doc_id long, lead long") if out is None else out
+    w = Window.partitionBy("bucket")
+    held = signed.select(F.explode("bands").alias("bucket"), "doc_id").withColumn("lead", F.min("doc_id").over(w))
+    held = common.cut(held.filter("doc_id <> lead"))
+    pairs = held.select("doc_id", "lead").distinct().join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("lead"), F.col("sig").alias("other")), "lead")
+    good = common.cut(pairs.filter(_agree(k, similar)("sig", "other")).select("doc_id", "lead").distinct())
+    rest = held.join(good, ["doc_id", "lead"], "left_anti").select("bucket", "doc_id")
+    rest = rest.withColumn("n", F.count("*").over(w)).filter("n > 1").select("bucket", "doc_id").join(sig, "doc_id")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = rest.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_lead(k, similar), "doc_id long, lead long")
+    return good.union(rest)
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
