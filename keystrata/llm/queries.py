@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from keystrata.llm import bpe, chat, langid, metric, minhash, mixing, quality, sharding, substrings
 from keystrata.llm.common import table
 
@@ -66,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neighbours": op8_neighbours,
         "op9_bpe": op9_bpe,
         "op10_shuffled_shards": op10_shuffled_shards,
+        "pipeline": corpus_pipeline.run,
     }
 
 
