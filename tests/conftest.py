@@ -8,6 +8,7 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("OMP_NUM_THREADS", "1")
+os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
