@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keystrata.plans import relational, storage, vectors
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return storage.QUERIES | relational.QUERIES | vectors.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return storage.SQL | relational.SQL | vectors.SQL
