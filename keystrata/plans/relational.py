@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keystrata.operators import chunking
 from keystrata.plans.storage import Query, read, scratch
+from keystrata.sources.table import KeyTable
 from keystrata.streaming import ingest
 
 QUERIES: dict[str, Query] = {}
@@ -166,10 +167,20 @@ def events_sessions(spark, sf_dir):
 
 @query("SELECT * FROM events")
 def stream_append_merge(spark, sf_dir):
-    from keystrata.sources.table import KeyTable
-
     path, e = scratch(spark), read(spark, sf_dir, "events")
     e.repartition(3, "event_id").write.parquet(f"{path}-in")
     KeyTable.create(spark, path, e.schema, ["user_id", "ts"])
     ingest.append(ingest.read(spark, f"{path}-in", e.schema), path, f"{path}-checkpoint", merge_every=2).awaitTermination()
     return KeyTable(spark, path).scan()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'changed' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderstatus <> 'P'")
+def stream_replay(spark, sf_dir):
+    """A log that changes the finished orders and removes the pending ones."""
+    path, o = scratch(spark), read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    rows = o.drop("o_orderstatus")
+    KeyTable.load(rows, path, ["o_orderkey"], primary=True)
+    log = o.filter("o_orderstatus IN ('F', 'P')").select("o_orderkey", F.lit("changed").alias("o_orderpriority"), F.when(F.col("o_orderstatus") == "P", "D").otherwise("U").alias("action"), F.col("o_orderkey").alias("seq"))
+    log.write.parquet(f"{path}-log")
+    ingest.replay(ingest.read(spark, f"{path}-log", log.schema), path, f"{path}-checkpoint").awaitTermination()
+    return KeyTable(spark, path).scan()

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from keystrata.config import shared_folder
 from keystrata.functions import locator
 from keystrata.operators import maintain, placement
-from keystrata.sources.table import Key, KeyTable
+from keystrata.sources import datasource
+from keystrata.sources.table import STATS, Key, KeyTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,6 +134,33 @@ def join_unnest(spark, sf_dir):
     return clustered(spark, sf_dir, "customer", ["c_custkey"]).lookup(keys).select("c_custkey", "c_name")
 
 
+@query("SELECT * FROM orders WHERE o_orderkey > 200 AND o_orderkey <= 900")
+def source_scan(spark, sf_dir):
+    t = orders(spark, sf_dir)
+    datasource.register(spark)
+    return spark.read.format("keystrata").load(t.path).filter("o_orderkey > 200 AND o_orderkey <= 900")
+
+
+@query()
+def scan_stats(spark, sf_dir):
+    t = orders(spark, sf_dir)
+    STATS.reset()
+    t.scan([("o_orderkey", "=", 77)])
+    return STATS.frame(spark)
+
+
+@query("SELECT sum(1) AS n_rows, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders")
+def zones(spark, sf_dir):
+    return orders(spark, sf_dir).zones().agg(F.sum("rows").cast("decimal(38,0)").alias("n_rows"), F.min(F.col("min1").cast("long")).alias("least"), F.max(F.col("max1").cast("long")).alias("most"))
+
+
+@query("SELECT * FROM orders WHERE o_orderkey < 640")
+def vacuum_rebuild(spark, sf_dir):
+    t = orders(spark, sf_dir).update({"o_custkey": F.col("o_custkey")}, [("o_orderkey", "<", 10)], lazy=True)
+    maintain.vacuum(t)
+    return t.scan([("o_orderkey", "<", 640)])
+
+
 @query()
 def explain_scan(spark, sf_dir):
     return orders(spark, sf_dir).explain_scan([("o_orderkey", "between", (100, 1200))])

@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ShortType
 
-from keystrata.functions import hashes
-from keystrata.functions.vectors import cosine_distance, half, head
+from keystrata.functions import hashes, register, synthetic
+from keystrata.functions.vectors import cosine_distance, half, head, matrix
 from keystrata.operators import ann, graph, quantize
 from keystrata.operators.quantize import Codes, Lists
 from keystrata.plans.storage import Query, read, scratch
@@ -217,3 +219,34 @@ def hnsw_scan_all(spark, sf_dir):
 def hnsw_scan(spark, sf_dir):
     meta, nodes = graph.build_hierarchy(_sketched(spark, sf_dir), ef=64, shards=2)
     return _rounded(graph.hnsw_scan(meta, nodes, _many(spark, sf_dir), vectors(spark, sf_dir), ef=96, lim=K, rerank=48))
+
+
+@query()
+def ann_search_many(spark, sf_dir):
+    t, lists, codes, _ = ann.build_all(vectors(spark, sf_dir).select("id", "embedding"), scratch(spark), LISTS, M, 32)
+    return _rounded(ann.search_many(t, _many(spark, sf_dir), lists, codes, 8, K, 100))
+
+
+@query()
+def route_ceiling(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    lists = quantize.ivf_train(v, "embedding", LISTS)
+    placed = v.select("id", quantize.assign(spark, F.col("embedding"), lists).alias("partition_id"))
+    near = F.arrow_udf(lambda c: pa.array(lists.probe(matrix(c), LISTS).astype(np.int16).tolist(), pa.list_(pa.int16())), ArrayType(ShortType()))
+    probes = v.select(F.col("id").alias("query_id"), F.posexplode(near("embedding")).alias("r", "partition_id")).withColumn("r", F.col("r") + 1)
+    return graph.route_ceiling(ann.exact_many(v, _many(spark, sf_dir), K), placed, probes)
+
+
+@query(f"{E} SELECT id, CAST(len(v) AS INTEGER) AS dim, round({_COS.format(a='v', b='q')}, 6) AS distance FROM e, (SELECT {_list(QUERY)} AS q)")
+def sql_functions(spark, sf_dir):
+    register.register(spark)
+    vectors(spark, sf_dir).createOrReplaceTempView("keystrata_vectors")
+    q = "[" + ",".join(repr(float(x)) for x in QUERY) + "]"
+    return spark.sql(f"SELECT id, size(vector_in(vector_out(embedding))) AS dim, round(cosine_distance(vector_recv(vector_send(embedding)), vector_in('{q}')), 6) AS distance FROM keystrata_vectors")
+
+
+@query("SELECT CAST(2000 AS BIGINT) AS n, 1.0 AS length")
+def synthetic_vectors(spark, sf_dir):
+    v = synthetic.clustered_vectors(spark, 2000, 32)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return v.agg(F.count("*").alias("n"), F.round(F.avg(F.sqrt(norm)), 5).alias("length"))
