@@ -24,13 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder: later steps read it, column by column, and the loss of an executor loses nothing."""
+def cut(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """df, written as a table in the shared folder: later steps read it, column by column, and the loss of an executor loses nothing. made gets its path."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Deletes tables that cut() wrote and that nothing reads any more."""
+    for path in made:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    made.clear()
+
+
 def col(df: DataFrame, name: str) -> Column:
     """A column by its exact name, dots and all."""
     return df[f"`{name}`"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import cut
+from keystrata.llm.common import cut, discard
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     A round is two shuffles by id and one table of at most as many edges; rounds grow as the logarithm of the longest path.
     """
     ids = edges.toDF("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = cut(ids.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    made: list[str] = []
+    now = cut(ids.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), made)
     sign = None
     while True:
         large = _star(now).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -28,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         w = Window.partitionBy("u")
         small = large.withColumn("m", F.min("v").over(w))
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = cut(small.filter("u <> v").distinct())
+        before, made = made, []
+        now = cut(small.filter("u <> v").distinct(), made)
+        discard(edges.sparkSession, before)
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20)"))).first()
         if found == sign:
             return now.select(F.col("u").alias("id"), F.col("v").alias("least"))

@@ -184,18 +184,18 @@ def _lead(k: int, similar: float):
     return run
 
 
-def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, lead) of near duplicates, lead < doc_id; enough of them to connect each group."""
+def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, made: list[str] | None = None) -> DataFrame:
+    """(doc_id, lead) of near duplicates, lead < doc_id; enough of them to connect each group. made gets the tables that it reads."""
     spark, k = docs.sparkSession, bands * rows
     common.batch_rows(spark)
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    signed = common.cut(d.mapInArrow(_sign(bands, rows), "doc_id long, sig binary, bands array<long>"))
+    signed = common.cut(d.mapInArrow(_sign(bands, rows), "doc_id long, sig binary, bands array<long>"), made)
     sig = signed.select("doc_id", "sig")
     w = Window.partitionBy("bucket")
     held = signed.select(F.explode("bands").alias("bucket"), "doc_id").withColumn("lead", F.min("doc_id").over(w))
-    held = common.cut(held.filter("doc_id <> lead"))
+    held = common.cut(held.filter("doc_id <> lead"), made)
     pairs = held.select("doc_id", "lead").distinct().join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("lead"), F.col("sig").alias("other")), "lead")
-    good = common.cut(pairs.filter(_agree(k, similar)("sig", "other")).select("doc_id", "lead").distinct())
+    good = common.cut(pairs.filter(_agree(k, similar)("sig", "other")).select("doc_id", "lead").distinct(), made)
     rest = held.join(good, ["doc_id", "lead"], "left_anti").select("bucket", "doc_id")
     rest = rest.withColumn("n", F.count("*").over(w)).filter("n > 1").select("bucket", "doc_id").join(sig, "doc_id")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -205,7 +205,10 @@ def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, keep_id): each document that isn't its group's least, and the least, which stands for the group."""
-    return components(similar_pairs(docs, bands, rows, similar)).select(F.col("id").alias("doc_id"), F.col("least").alias("keep_id"))
+    made: list[str] = []
+    found = components(similar_pairs(docs, bands, rows, similar, made)).select(F.col("id").alias("doc_id"), F.col("least").alias("keep_id"))
+    common.discard(docs.sparkSession, made)  # the components are a table of their own
+    return found
 
 
 def drop_near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ from keystrata.llm import minhash, text as T
 from keystrata.llm.components import components
 
 
+@lru_cache(None)
 def shingles(t):
     w = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
     return Counter(zip(w, w[1:])) if len(w) > 1 else Counter(w)
