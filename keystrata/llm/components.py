@@ -14,8 +14,8 @@ def _star(edges: DataFrame) -> DataFrame:
     return both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, least): of each id that has an edge (a, b), the least id of its component. Loops, repeated edges and nulls are ignored.
+def components(edges: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """(id, least): of each id that has an edge (a, b), the least id of its component. Loops, repeated edges and nulls are ignored. kept gets the path of the result.
 
     A round is two shuffles by id and one table of at most as many edges; rounds grow as the logarithm of the longest path.
     """
@@ -34,5 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(edges.sparkSession, before)
         found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20)"))).first()
         if found == sign:
+            if kept is not None:
+                kept += made
             return now.select(F.col("u").alias("id"), F.col("v").alias("least"))
         sign = found

@@ -7,10 +7,12 @@ bound that is chosen so that about K (ln K + 2) darts hit it; each dart belongs
 least rank is the coordinate's value. Two texts agree in a coordinate with the probability of their weighted Jaccard
 similarity. A text with a coordinate that no dart hit gets twice the bound until all are hit.
 
-Texts that agree in a whole band of coordinates are candidates. In each bucket, every text is held against the least id by
-the whole signature; those that aren't similar to it go, in order of their ids, against each other: a text against all
-before it that were similar to none.
-Groups are the connected components of the similar pairs; the least id of a group stands for it.
+Texts that agree in a whole band of coordinates are candidates, and similar if their whole signatures say so. Groups are the
+connected components of all similar pairs; the least id of a group stands for it.
+
+Texts of one signature are linked and count as the least id of them. In each bucket, every text is held against the least id;
+then each is held against every other that these links don't yet join to it. Buckets of over BLOCK texts are cut into blocks,
+and each pair of blocks is a piece of work of its own.
 
 Words are runs of letters and digits (all bytes beyond ASCII count as letters). A text of one word is that word; null texts
 and texts without words are in no group. Rows without a doc_id are in no group. Rows that share a doc_id are one document:
@@ -33,6 +35,10 @@ from keystrata.llm.components import components
 BANDS, ROWS = 40, 5
 #: Texts are near duplicates if the share of coordinates that they agree in says so.
 SIMILAR = 0.5
+#: About as many texts of a bucket are held against as many others at once.
+BLOCK = 2048
+#: Pairs of texts whose signatures are compared at once.
+PAIRS = 1 << 16
 
 
 def elements(c: T.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,9 +119,8 @@ def _sign(bands: int, rows: int):
                 at = np.flatnonzero(some)
                 sig = T.mix(sig[at])
                 band = T.mix((T.mix(sig).reshape(-1, bands, rows) * salt).sum(2, dtype=T.U) + number).view(np.int64)
-                small = (sig & T.U(15)).astype(np.uint8)
-                if k % 2:
-                    small = np.concatenate((small, np.zeros((len(at), 1), np.uint8)), 1)
+                small = np.zeros((len(at), 16 * _words(k)), np.uint8)
+                small[:, :k] = sig & T.U(15)
                 packed = small[:, ::2] << 4 | small[:, 1::2]
                 m, width = packed.shape
                 yield pa.RecordBatch.from_arrays(
@@ -130,77 +135,113 @@ def _sign(bands: int, rows: int):
     return run
 
 
+def _words(k: int) -> int:
+    """64-bit words of a packed signature of k coordinates."""
+    return -(-k // 16)
+
+
 def _alike(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     """Share of the coordinates that packed signatures agree in, without the 1 in 16 that do by chance."""
     z = x ^ y
-    same = ((z & 240) == 0).sum(-1) + ((z & 15) == 0).sum(-1) - k % 2
-    return (same / k - 1 / 16) / (15 / 16)
+    z |= z >> T.U(1)
+    z |= z >> T.U(2)
+    other = np.bitwise_count(z & T.U(0x1111111111111111)).sum(-1, dtype=np.int64)
+    return ((k - other) / k - 1 / 16) / (15 / 16)
 
 
 def _packed(column: pa.Array, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), (k + 1) // 2)
+    return np.frombuffer(b"".join(column.to_pylist()), T.U).reshape(len(column), _words(k))
 
 
 def _agree(k: int, similar: float):
     return F.arrow_udf(lambda a, b: pa.array(_alike(_packed(a, k), _packed(b, k), k) >= similar), BooleanType())
 
 
-def _lead(k: int, similar: float):
-    """Of rows in order of bucket: each text with every earlier one of its bucket that it is like, of those that were like none before them."""
-
-    def links(ids: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
-        leads = np.empty_like(sig)
-        who: list[int] = []
-        for i, x in zip(ids.tolist(), sig):
-            found = np.flatnonzero(_alike(leads[: len(who)], x, k) >= similar).tolist()
-            yield from ((max(i, who[j]), min(i, who[j])) for j in found)
-            if not found:
-                leads[len(who)] = x
-                who.append(i)
+def _links(ids: np.ndarray, label: np.ndarray, sig: np.ndarray, start: np.ndarray, count: np.ndarray, k: int, similar: float) -> Iterator[np.ndarray]:
+    """(2 x n) ids of similar pairs: each row i against rows start[i] to start[i] + count[i] but those of its label; what a pair joins becomes one label."""
+    upto = np.cumsum(count)
+    a = 0
+    while a < len(ids):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - count[a] + PAIRS, "right")))
+        i, j = np.repeat(np.arange(a, b), count[a:b]), T.ragged(start[a:b], count[a:b])
+        other = np.flatnonzero(label[i] != label[j])
+        i, j = i[other], j[other]
+        good = _alike(sig[i], sig[j], k) >= similar
+        i, j = i[good], j[good]
+        if len(i):
+            yield np.stack((np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])))
+            if b < len(ids):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    if label[x] != label[y]:
+                        # only within the bucket: start is its first row, count reaches to its last
+                        part = slice(int(start[x]), int(np.searchsorted(start, start[x], "right")))
+                        of = label[part]
+                        of[of == label[x]] = label[y]
+        a = b
+
+
+def _rest(k: int, similar: float):
+    """Of rows in order of piece and block, a piece being one block or two of a bucket: the similar pairs within the one, or across the two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        last = None
-
-        def done() -> list[tuple[int, int]]:
-            return list(links(*(np.concatenate(a) for a in zip(*held)))) if sum(len(a) for a, _ in held) > 1 else []
-
+        def pairs(piece: np.ndarray, block: np.ndarray, two: np.ndarray, ids: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+            n = len(ids)
+            new = np.ones(n, bool)
+            new[1:] = (piece[1:] != piece[:-1]).any(1)
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            turn = new.copy()
+            turn[1:] |= block[1:] != block[:-1]
+            first = np.maximum.accumulate(np.where(turn, np.arange(n), 0))  # of the row's block
+            count = np.where(two, first, np.arange(n)) - start
+            for found in _links(ids, label, sig, start, count, k, similar):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["doc_id", "lead"])
+
+        held: list[np.ndarray] = []
         for batch in batches:
             if not len(batch):
                 continue
-            bucket, ids, sig = batch["bucket"].to_numpy(), batch["doc_id"].to_numpy(), _packed(batch["sig"], k)
-            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            out: list[tuple[int, int]] = []
-            for a, b in zip(edges, edges[1:]):
-                if bucket[a] != last:
-                    out += done()
-                    held, last = [], bucket[a]
-                held.append((ids[a:b], sig[a:b]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["doc_id", "lead"])
-        if out := done():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["doc_id", "lead"])
+            piece = np.stack([batch[c].to_numpy() for c in ("bucket", "p", "q")], 1)
+            now = [piece, batch["block"].to_numpy(), piece[:, 1] != piece[:, 2], batch["doc_id"].to_numpy(), batch["label"].to_numpy().copy(), _packed(batch["sig"], k)]
+            held = [np.concatenate(a) for a in zip(held, now)] if held else now
+            last = held[0][-1]
+            if (held[0][0] == last).all():
+                continue
+            whole = int(np.flatnonzero((held[0] != last).any(1))[-1]) + 1
+            yield from pairs(*(a[:whole] for a in held))
+            held = [a[whole:] for a in held]
+        if held:
+            yield from pairs(*held)
 
     return run
 
 
-def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, made: list[str] | None = None) -> DataFrame:
-    """(doc_id, lead) of near duplicates, lead < doc_id; enough of them to connect each group. made gets the tables that it reads."""
+def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, made: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(doc_id, lead) of near duplicates, lead < doc_id: their components are those of all similar pairs that share a bucket. made gets the tables that it reads."""
     spark, k = docs.sparkSession, bands * rows
     common.batch_rows(spark)
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     signed = common.cut(d.mapInArrow(_sign(bands, rows), "doc_id long, sig binary, bands array<long>"), made)
+    # texts of one signature, by 128 bits of it
+    key = [F.xxhash64("sig", "bands").alias("x"), F.xxhash64("bands", "sig").alias("y")]
+    same = signed.select("doc_id", *key).withColumn("lead", F.min("doc_id").over(Window.partitionBy("x", "y")))
+    same = common.cut(same.filter("doc_id <> lead").select("doc_id", "lead", "x", "y"), made)
+    signed = signed.select("*", *key).join(same.select("doc_id", "x", "y").distinct(), ["doc_id", "x", "y"], "left_anti").select("doc_id", "sig", "bands")
+    signed = common.cut(signed, made)
     sig = signed.select("doc_id", "sig")
     w = Window.partitionBy("bucket")
     held = signed.select(F.explode("bands").alias("bucket"), "doc_id").withColumn("lead", F.min("doc_id").over(w))
     held = common.cut(held.filter("doc_id <> lead"), made)
     pairs = held.select("doc_id", "lead").distinct().join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("lead"), F.col("sig").alias("other")), "lead")
     good = common.cut(pairs.filter(_agree(k, similar)("sig", "other")).select("doc_id", "lead").distinct(), made)
-    rest = held.join(good, ["doc_id", "lead"], "left_anti").select("bucket", "doc_id")
-    rest = rest.withColumn("n", F.count("*").over(w)).filter("n > 1").select("bucket", "doc_id").join(sig, "doc_id")
+    known = components(good, made).toDF("doc_id", "least")
+    rest = held.select("bucket", "doc_id").distinct().join(known, "doc_id", "left").select("bucket", "doc_id", F.coalesce("least", "doc_id").alias("label"))
+    rest = rest.withColumns({"n": F.count("*").over(w), "low": F.min("label").over(w), "high": F.max("label").over(w)}).filter("low <> high")
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rest = rest.select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "doc_id", "label").join(sig, "doc_id")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(_lead(k, similar), "doc_id long, lead long")
-    return good.union(rest)
+    rest = rest.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "block", "doc_id").mapInArrow(_rest(k, similar), "doc_id long, lead long")
+    return same.select("doc_id", "lead").union(good).union(rest)
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:

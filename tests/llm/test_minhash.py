@@ -61,6 +61,42 @@ def test_as_brute_force(spark):
     assert kept == {i for i, _ in rows + extra} - set(got)
 
 
+def candidates(rows, bands=minhash.BANDS, per=minhash.ROWS, similar=minhash.SIMILAR):
+    """{doc_id: least id of its group}, by every two texts that share a bucket and are similar by their signatures."""
+    k = bands * per
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    out = pa.Table.from_batches(minhash._sign(bands, per)([batch]))
+    ids, sig = out["doc_id"].to_pylist(), np.array([[x >> 4, x & 15] for s in out["sig"].to_pylist() for x in s]).reshape(len(rows), -1)[:, :k]
+    bucket = np.array(out["bands"].to_pylist())
+    root = {i: i for i in ids}
+    for n in range(len(ids)):
+        alike = ((sig[:n] == sig[n]).mean(1) - 1 / 16) / (15 / 16) >= similar
+        for j in np.flatnonzero(alike & (bucket[:n] == bucket[n]).any(1)).tolist():
+            x, y = sorted((root[ids[n]], root[ids[j]]))
+            if x != y:
+                root = {i: x if least == y else least for i, least in root.items()}
+    return {i: least for i, least in root.items() if least != i}
+
+
+def around_one(seed, n, first):
+    """n copies of one text, like it but not each other, and copies of copies; the original has neither the least nor the greatest id."""
+    r = random.Random(seed)
+    base = [f"b{seed}x{i}" for i in range(300)]
+    rows = [(first + 2 * i, edited(r, " ".join(base), 0.14)) for i in range(n)]
+    rows += [(first + 2 * i + 1, rows[i][1]) for i in range(0, n, 40)]
+    return rows + [(first + n + 1 - n % 2, " ".join(base))]
+
+
+def test_every_pair_of_a_bucket(spark):
+    rows = [x for seed in range(3) for x in around_one(seed, 240, 1000 * seed)]
+    want = candidates(rows)
+    assert len(want) > 0.8 * len(rows)  # else the test says little
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x[0]: x[1] for x in minhash.near_duplicates(df).collect()} == want
+    for block in (7, 50):  # the same in pieces
+        assert {x[0]: x[1] for x in components(minhash.similar_pairs(df, block=block)).collect()} == want
+
+
 def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(df).collect() == []
