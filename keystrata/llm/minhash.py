@@ -32,7 +32,7 @@ from pyspark.sql.types import BooleanType
 from keystrata.llm import common, text as T
 from keystrata.llm.components import components
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 60, 4
 #: Texts are near duplicates if the share of coordinates that they agree in says so.
 SIMILAR = 0.5
 #: About as many texts of a bucket are held against as many others at once.

@@ -97,6 +97,19 @@ def test_every_pair_of_a_bucket(spark):
         assert {x[0]: x[1] for x in components(minhash.similar_pairs(df, block=block)).collect()} == want
 
 
+def test_pairs_from_the_threshold_on_share_a_bucket():
+    r = random.Random(11)
+    pairs = []
+    while len(pairs) < 500:
+        a = " ".join(f"w{r.randrange(5000)}" for _ in range(r.choice([60, 150, 400])))
+        b = edited(r, a, r.uniform(0.12, 0.2))
+        if 0.5 <= jaccard(a, b) < 0.57:
+            pairs += [a, b]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array(pairs)], ["doc_id", "text"])
+    bucket = np.array(pa.Table.from_batches(minhash._sign(minhash.BANDS, minhash.ROWS)([batch]))["bands"].to_pylist())
+    assert (bucket[::2] == bucket[1::2]).any(1).mean() > 0.95
+
+
 def test_empty_table_and_clashing_names(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(df).collect() == []
