@@ -16,7 +16,7 @@ and each pair of blocks is a piece of work of its own.
 
 Words are runs of letters and digits (all bytes beyond ASCII count as letters). A text of one word is that word; null texts
 and texts without words are in no group. Rows without a doc_id are in no group. Rows that share a doc_id are one document:
-they stay or go together. Other columns aren't read. An empty table gives an empty result.
+they stay or go together, but of rows with the same text too one stays. Other columns aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -252,8 +252,25 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, simil
     return found
 
 
+def _one_of_repeats(docs: DataFrame) -> DataFrame:
+    """docs without the rows that repeat the doc_id and the text of another: the one whose other columns come first stays."""
+    plain, (doc_id, text) = common.numbered(docs, "doc_id", "text")
+    plain = plain.withColumns({"id": F.col(doc_id).cast("long"), "key": F.xxhash64(text)})
+    rows = plain.filter(F.col("id").isNotNull() & F.col(text).isNotNull())
+    made: list[str] = []
+    twice = common.cut(rows.groupBy("id", "key").count().filter("count > 1").select("id", "key"), made)
+    if twice.isEmpty():
+        common.discard(docs.sparkSession, made)
+        return docs
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    once = plain.withColumn("key", F.when(F.col(text).isNotNull(), F.col("key"))).join(twice, ["id", "key"], "left_anti")
+    order = [c for c, kind in plain.dtypes if not any(x in kind for x in ("map<", "variant", "void"))]
+    first = rows.join(twice, ["id", "key"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy(*order))).filter("n = 1")
+    return once.select(names).union(first.select(names)).toDF(*docs.columns)
+
+
 def drop_near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
-    """docs, in the same columns, with one document of each group."""
+    """docs, in the same columns, with one document of each group, and one row of those that share doc_id and text."""
     gone = near_duplicates(docs, bands, rows, similar).select(F.col("doc_id").alias("gone"))
-    plain, (doc_id,) = common.numbered(docs, "doc_id")
+    plain, (doc_id,) = common.numbered(_one_of_repeats(docs), "doc_id")
     return plain.join(gone, F.col(doc_id).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -118,6 +118,12 @@ def test_empty_table_and_clashing_names(spark):
     assert out.columns == df.columns and [x[0] for x in out.collect()] == [1]  # rows that share an id go together
 
 
+def test_one_row_of_full_repeats_stays(spark):
+    rows = [(1, "a b c", "x", 1), (1, "a b c", "y", 2), (2, "d e f", "x", 3), (2, "g h i", "x", 4), (3, None, "x", 5), (3, None, "x", 6), (None, "j k", "x", 7), (None, "j k", "x", 8), (4, "a b c", "x", 9)]
+    out = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id int, text string, `id` string, `key` int"))
+    assert out.columns == ["doc_id", "text", "id", "key"] and sorted(x["key"] for x in out.collect()) == [1, 3, 4, 5, 6, 7, 8]
+
+
 def test_agreement_is_weighted_jaccard():
     r = np.random.default_rng(1)
     x = np.round(r.uniform(0.1, 6, 80), 2)
