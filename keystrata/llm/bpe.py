@@ -336,15 +336,13 @@ def _encoded(path: str, text: str, keep: bool):
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip) of each row of docs; round_trip says whether decoding gave the text again."""
-    common.batch_rows(docs.sparkSession)
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
     return d.mapInArrow(_encoded(path, "text", False), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """docs with the columns tokens and n_tokens."""
-    common.batch_rows(docs.sparkSession)
-    docs = docs.select(*(common.col(docs, c) for c in docs.columns if c not in ("tokens", "n_tokens")))
+    docs = common.without(docs, "tokens", "n_tokens")
     plain, (text,) = common.numbered(docs, "text")
     schema = StructType([*plain.schema.fields, StructField("tokens", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
     return plain.mapInArrow(_encoded(path, text, True), schema).toDF(*docs.columns, "tokens", "n_tokens")
@@ -352,7 +350,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def decode(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """df with the column decoded, the text of its tokens: null for null; bytes that aren't UTF-8 are replaced; ids that the vocabulary hasn't are an error."""
-    df = df.select(*(common.col(df, c) for c in df.columns if c != "decoded"))
+    df = common.without(df, "decoded")
     plain, (tokens,) = common.numbered(df, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,25 +42,38 @@ def discard(spark: SparkSession, made: list[str]) -> None:
     made.clear()
 
 
-def col(df: DataFrame, name: str) -> Column:
-    """A column by its exact name, dots and all."""
-    return df[f"`{name}`"]
+def place(df: DataFrame, name: str) -> int:
+    """Where the column of exactly this name stands, or else the only one of this name in other letter cases."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not found or df.columns[found[0]] != name and len(found) > 1:
+        raise ValueError(f"there is no column {name} among {', '.join(df.columns)}")
+    return found[0]
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1, …, and what the named ones are called there: no name of the caller's can clash, in any case of letters."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{place(df, n)}" for n in names]
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: extra columns and their names never matter."""
-    return df.select(*(col(df, old).alias(new) for new, old in columns.items()))
+    plain, names = numbered(df, *columns.values())
+    return plain.select(*(F.col(old).alias(new) for new, old in zip(columns, names)))
 
 
-def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
-    """df with its columns called c0, c1, …, and what the named ones are called there: no name of the caller's can clash."""
-    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{df.columns.index(n)}" for n in names]
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of exactly these names."""
+    plain, _ = numbered(df)
+    kept = [i for i, c in enumerate(df.columns) if c not in names]
+    return plain.select(*(f"c{i}" for i in kept)).toDF(*(df.columns[i] for i in kept))
 
 
-def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows, so the bytes, of an Arrow batch of whole texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def integers(df: DataFrame, *names: str) -> None:
+    """An error, before any row is read, unless the columns hold integers."""
+    for n in names:
+        kind = df.schema.fields[place(df, n)].dataType
+        if not isinstance(kind, (IntegralType, NullType)):
+            raise TypeError(f"{n} is of type {kind.simpleString()}; ids have to be integers")
 
 
 def unit(seed: int, *columns: str | Column) -> Column:

@@ -168,7 +168,6 @@ def label(c: T.Texts, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def word_languages(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, share, n_words, n_switches, runs) of each row of docs: lang has the greatest mean marginal, share; runs are the consecutive words of one language."""
-    common.batch_rows(docs.sparkSession)
     names = [*model.languages] or [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

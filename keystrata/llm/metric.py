@@ -1,19 +1,23 @@
-"""Near-duplicate vectors by cover trees, and nearest neighbours by vantage-point trees; both by cosine, over cells.
+"""Near-duplicate vectors by cover trees, and nearest neighbours by vantage-point trees; both by cosine, over shards.
 
-Vectors are scaled to length one, so that the distance d of two has cosine 1 - d * d / 2. A sample of the vectors are pivots,
-about one for CELL vectors; a vector belongs to the cell of its nearest pivot. A cell's vectors are one shard, and a vector
-visits those other cells that the triangle inequality cannot rule out, where it is read as a stream.
+Vectors are scaled to length one, so that the distance d of two has cosine 1 - d * d / 2. A sample of the vectors are pivots;
+a vector belongs to the cell of its nearest pivot. A cell of far more than its share of vectors is cut by a hash of their
+ids, so no task holds more than a bounded part of it; a cell, or such a part, is a shard. A vector visits those other shards
+that the triangle inequality cannot rule out, where it is read as a stream.
 
-near_pairs: each cell's vectors are a cover tree: nested levels, a level's nodes covering theirs within half the radius of
-the level above. Visitors form such a tree too, some thousand at a time, and pairs of nodes are followed down both trees; a
-pair is left when the distance of its centres exceeds the threshold and both covering radii. The pairs found are exact.
+near_vectors: each shard's vectors are a cover tree: nested levels, a level's nodes covering theirs within half the radius of
+the level above. Visitors form such a tree too, some thousand at a time, and pairs of nodes are followed down both trees: a
+pair is left when the distance of its centres exceeds the threshold and both covering radii, and counted as a whole when
+even with both radii it is within the threshold. Each pair of shards meets in one of the two, half of them in either. Pairs
+are counted where they are found, and only each vector's number of links and one link towards its class leave the task.
 
-neighbours: each cell's vectors are a vantage-point tree; a branch is left when its lower bound, times factor, exceeds the
-distance of the query's k-th neighbour so far. Factor one is exact; more is faster and may miss some.
+neighbours: each shard's vectors are a vantage-point tree, walked from its root; a branch is left when its lower bound, times
+factor, exceeds the distance of the query's k-th neighbour so far. Factor one is exact; more is faster and may miss some.
 
 Rows that repeat an id count once, with the least of their vectors. Rows without an id or vector, and vectors with a null or
-a value that isn't finite, of length zero, or not of the dimension that most rows have (of several, the least), are in no
-result. Ties go by id; cosines count to nine decimals. Other columns aren't read. An empty table gives an empty result.
+a value that isn't finite, or of length zero, are in no result. Vectors of different dimensions are never near each other:
+those of each dimension are searched apart. Ties go by id; cosines count to nine decimals. Other columns aren't read. An
+empty table gives an empty result. Ids that aren't integers are an error.
 """
 
 from __future__ import annotations
@@ -25,20 +29,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from keystrata.llm import common
+from keystrata.llm.components import components
 
+#: About so many vectors of a cell; one of over half as many again is cut.
 CELL = 4096
-#: Most pivots, which every task holds; with more vectors cells grow.
-PIVOTS = 16_384
+#: Bytes of a shard's vectors, in 64 bits, if they are many-dimensional.
+SHARD_BYTES = 32 << 20
+#: Bytes of all pivots, which every task holds.
+PIVOT_BYTES = 64 << 20
+#: Visitors of a shard at once.
 BLOCK = 2048
 LEAF = 128
 SLACK = 1e-6
+#: Values of a matrix that is worked on at once.
+AREA = 1 << 20
 #: Cosine from which two vectors are near duplicates.
 SIMILAR = 0.95
 K = 10
 FACTOR = 1.25
-VISITS = "cell long, visitor boolean, id long, bound double, v binary"
+#: Of so many ids one is a query of op8.
+EVERY = 20
+VISITS = "shard int, visitor boolean, id long, bound double, v binary"
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -50,56 +64,124 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
 
 
-class Cells(NamedTuple):
-    """Each vector's home and how far it is from its pivot, the pivots, and the cells' radii."""
+def _within(distance: np.ndarray | float) -> np.ndarray | float:
+    """The cosine of unit vectors at a distance."""
+    return 1 - distance * distance / 2
+
+
+class Space(NamedTuple):
+    """The pivots of one dimension, their cells' radii, and the cells' shards: cell c has parts[c] of them, from first[c] on."""
 
-    homes: DataFrame  # id, v, home, far
     pivots: np.ndarray
     radii: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+
+    def shards(self) -> tuple[np.ndarray, np.ndarray]:
+        """(shards, their cells)."""
+        of = np.repeat(np.arange(len(self.parts)), self.parts)
+        return self.first[of] + np.arange(len(of)) - (np.cumsum(self.parts) - self.parts)[of], of
 
     def bounds(self, v: np.ndarray, home: np.ndarray) -> np.ndarray:
-        """A lower bound of the distance from each vector to those of each cell."""
+        """A lower bound of the distance from each vector to those of each cell; none to its own."""
         d = _distance(v @ self.pivots.T)
-        own = d[np.arange(len(v)), home][:, None]
-        return np.maximum(np.maximum(d - self.radii, (d - own) / 2) - SLACK, 0)
+        at = np.arange(len(v))
+        low = np.maximum(np.maximum(d - self.radii, (d - d[at, home][:, None]) / 2) - SLACK, 0)
+        low[at, home] = 0
+        return low
+
+
+class Cells(NamedTuple):
+    """Each vector with its dimension, cell and shard, as a table; what is known of each dimension; how many shards there are."""
 
+    homes: DataFrame  # id, v, dim, cell, shard
+    spaces: dict[int, Space]
+    shards: int
 
-def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(len(column), dim)
 
+def _raw(wide: bool):
+    return np.float64 if wide else np.float32
 
-def cells(df: DataFrame, id_column: str, vector: str, cell: int = CELL) -> tuple[Cells, int] | None:
-    """The vectors in cells, and their dimension; None if there are none."""
-    d = common.narrow(df, id=id_column, v=vector).select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"))
+
+def _of(column: pa.Array, wide: bool) -> np.ndarray:
+    """Unit vectors from the bytes of raw ones, all of one dimension."""
+    rows = column.to_pylist()
+    return _unit(np.frombuffer(b"".join(rows), _raw(wide)).reshape(len(rows), -1)) if rows else np.empty((0, 1))
+
+
+def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, where it stands) of each value."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    edges = np.concatenate(([0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, [len(ranked)]))
+    for a, b in zip(edges.tolist(), edges[1:].tolist()):
+        if a < b:
+            yield int(ranked[a]), order[a:b]
+
+
+def cells(df: DataFrame, id_column: str, vector: str, cell: int, made: list[str]) -> tuple[Cells, bool] | None:
+    """The vectors in cells, and whether they are of 64 bits; None if there are none. made gets the paths of the tables."""
+    common.integers(df, id_column)
+    spark = df.sparkSession
+    kind = df.schema.fields[common.place(df, vector)].dataType
+    wide = not (isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType))
+    d = common.narrow(df, id=id_column, v=vector).select(F.col("id").cast("long"), F.col("v").cast("array<double>" if wide else "array<float>").alias("v"))
     d = d.filter("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(v, x -> x <> 0)")
     d = d.groupBy("id").agg(F.min("v").alias("v"))
-    d = common.cut(d.withColumn("dim", F.size("v")))
-    dims = d.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                at = batch["v"].offsets.to_numpy() - batch["v"].offsets[0].as_py()
+                data = np.ascontiguousarray(batch["v"].flatten().to_numpy(zero_copy_only=False), _raw(wide))
+                size = data.itemsize
+                v = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch["id"], v, pa.array(np.diff(at).astype(np.int32))], ["id", "v", "dim"])
+
+    d = common.cut(d.mapInArrow(pack, "id long, v binary, dim int"), made)
+    d = d.withColumn("u", common.unit(7, "id"))
+    dims = d.groupBy("dim").agg(F.count("*").alias("n"), F.min_by("v", F.struct("u", "id")).alias("v")).collect()  # a row for each dimension
     if not dims:
         return None
-    dim, n = dims[0]
-    d = d.filter(F.col("dim") == dim).select("id", "v")
-    few = d.orderBy(common.unit(7, "id"), "id").limit(min(PIVOTS, -(-n // cell))).collect()
-    pivots = _unit(np.array([x["v"] for x in few]))
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
+    # of each dimension the pivots: the vector of least hash, and so many more as its share says
+    most = {x["dim"]: max(1, min(cell, SHARD_BYTES // (8 * x["dim"]))) for x in dims}
+    share = [(x["dim"], min(x["n"] / most[x["dim"]], PIVOT_BYTES / (8 * x["dim"])) / x["n"]) for x in dims]
+    few = d.join(F.broadcast(spark.createDataFrame(share, "dim int, share double")), "dim").filter("u < share").select("dim", "id", "v").collect()
+    chosen = {x["dim"]: {bytes(x["v"])} for x in dims}
+    for x in sorted(few, key=lambda x: x["id"]):
+        chosen[x["dim"]].add(bytes(x["v"]))
+    pivots = {dim: _of(pa.array(sorted(rows), pa.binary()), wide) for dim, rows in chosen.items()}
+    d = d.drop("u")
+    shared = spark.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            home, far = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            for dim, rows in _groups(batch["dim"].to_numpy()):
+                p = shared.value[dim]
+                step = max(1, AREA // len(p))
+                for i in range(0, len(rows), step):
+                    part = rows[i : i + step]
+                    cosine = _of(batch["v"].take(pa.array(part)), wide) @ p.T
+                    home[part], far[part] = cosine.argmax(1), _distance(cosine.max(1))
             if len(batch):
-                v = _unit(_vectors(batch["v"], dim))
-                cosine = v @ shared.value.T
-                home = cosine.argmax(1)
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array([x.tobytes() for x in v], pa.binary()), pa.array(home), pa.array(_distance(cosine.max(1)))], ["id", "v", "home", "far"])
-
-    homes = common.cut(d.mapInArrow(assign, "id long, v binary, home long, far double"))
-    radii = np.zeros(len(pivots))
-    for x in homes.groupBy("home").agg(F.max("far").alias("far")).collect():  # a number for each pivot
-        radii[x["home"]] = x["far"]
-    return Cells(homes, pivots, radii), dim
-
-
-def _of(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), dim)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(far)], ["id", "v", "dim", "cell", "far"])
+
+    homes = common.cut(d.mapInArrow(assign, "id long, v binary, dim int, cell int, far double"), made)
+    spaces, shards = {}, 0
+    known = homes.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()  # a row for each pivot
+    for dim, p in pivots.items():
+        radii, size = np.zeros(len(p)), np.zeros(len(p), np.int64)
+        for x in known:
+            if x["dim"] == dim:
+                radii[x["cell"]], size[x["cell"]] = x["far"], x["n"]
+        parts = np.maximum(1, np.round(size / most[dim])).astype(np.int64)
+        spaces[dim] = Space(p, radii, shards + np.cumsum(parts) - parts, parts)
+        shards += int(parts.sum())
+    table = spark.createDataFrame([(dim, c, int(a), int(n)) for dim, s in spaces.items() for c, (a, n) in enumerate(zip(s.first, s.parts))], "dim int, cell int, first int, parts int")
+    homes = homes.drop("far").join(F.broadcast(table), ["dim", "cell"])  # a row for each pivot
+    homes = homes.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")).select("id", "v", "dim", "cell", "shard")
+    return Cells(homes, spaces, shards), wide
 
 
 class Held(NamedTuple):
@@ -108,43 +190,62 @@ class Held(NamedTuple):
     bound: np.ndarray
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch], dim: int, block: int) -> Iterator[tuple[int, bool, Held]]:
-    """(cell, whether these visit, vectors): all residents of a cell, then its visitors, block by block; rows are in that order."""
+def _by_shard(batches: Iterator[pa.RecordBatch], wide: bool, block: int) -> Iterator[tuple[int, bool, Held]]:
+    """(shard, whether these visit, vectors): all residents of a shard, then its visitors, block by block; rows are in that order."""
     held: list[pa.RecordBatch] = []
     now: tuple[int, bool] | None = None
 
     def out() -> tuple[int, bool, Held]:
         t = pa.Table.from_batches(held).combine_chunks()
-        return (*now, Held(t["id"].to_numpy(), np.concatenate([_of(b["v"], dim) for b in held]), t["bound"].to_numpy()))
+        return (*now, Held(t["id"].to_numpy(), np.concatenate([_of(b["v"], wide) for b in held]), t["bound"].to_numpy()))
 
     for batch in batches:
-        key = batch["cell"].to_numpy() * 2 + batch["visitor"].to_numpy(zero_copy_only=False)
+        key = batch["shard"].to_numpy().astype(np.int64) * 2 + batch["visitor"].to_numpy(zero_copy_only=False)
         edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for a, b in zip(edges, edges[1:]):
-            if a == b:
-                continue
-            this = (int(key[a] // 2), bool(key[a] % 2))
-            if held and (this != now or this[1] and sum(map(len, held)) >= block):
-                yield out()
-                held = []
-            now = this
-            held.append(batch.slice(a, b - a))
+            while a < b:
+                this = (int(key[a] // 2), bool(key[a] % 2))
+                if held and (this != now or this[1] and sum(map(len, held)) >= block):
+                    yield out()
+                    held = []
+                now = this
+                step = b - a if not this[1] else min(b - a, block - sum(map(len, held)))
+                held.append(batch.slice(a, step))
+                a += step
     if held:
         yield out()
 
 
+def _parted(visits: DataFrame, shards: int) -> DataFrame:
+    """A task for each shard, residents first."""
+    return visits.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "visitor")
+
+
 class Node:
-    """A node of a cover tree: its centre, the greatest distance of its vectors from it, and its children or, in a leaf, vectors."""
+    """A node of a cover tree: its centre, the greatest distance of its vectors from it, and its children.
+
+    flat are the vectors without children of their own: those of a leaf, of children of one vector, and of leaves so wide that
+    no bound would rule them out; wide are the other children.
+    """
 
-    __slots__ = ("centre", "radius", "children", "members", "centres", "radii")
+    __slots__ = ("centre", "radius", "children", "members", "flat", "wide", "centres", "radii")
 
     def __init__(self, centre: int, radius: float, members: np.ndarray):
         self.centre, self.radius, self.members = centre, radius, members
         self.children: list[Node] = []
+        self.flat, self.wide = members, []
 
+    def settle(self, leaf: int, reach: float) -> None:
+        """flat and wide from the children."""
+        flat = [c for c in self.children if len(c.members) == 1 or (len(c.members) <= leaf and c.radius > reach)]
+        self.wide = [c for c in self.children if not (len(c.members) == 1 or (len(c.members) <= leaf and c.radius > reach))]
+        self.flat = np.concatenate([c.members for c in flat]) if flat else np.empty(0, np.int64)
+        self.centres = np.array([c.centre for c in self.wide], np.int64)
+        self.radii = np.array([c.radius for c in self.wide])
 
-def cover_tree(v: np.ndarray, members: np.ndarray | None = None, centre: int = 0, level: float = 2.0, leaf: int = 16) -> Node:
-    """members is all vectors by default; level is a radius that covers them from the centre."""
+
+def cover_tree(v: np.ndarray, members: np.ndarray | None = None, centre: int = 0, level: float = 2.0, leaf: int = 16, reach: float = 0.0) -> Node:
+    """members is all vectors by default; level is a radius that covers them from the centre; reach the distance that is asked for."""
     if members is None:
         members = np.arange(len(v))
     d = _distance(v[members] @ v[centre])
@@ -153,141 +254,222 @@ def cover_tree(v: np.ndarray, members: np.ndarray | None = None, centre: int = 0
         return node
     while level / 2 >= node.radius:
         level /= 2
-    near = v[members] @ v[members].T >= 1 - level * level / 8  # within half the level
-    open_ = np.ones(len(members), bool)
-    at = int(np.flatnonzero(members == centre)[0])
-    while True:
-        own = near[at] & open_
-        own[at] = True
-        open_ &= ~own
-        node.children.append(cover_tree(v, members[own], int(members[at]), level / 2, leaf))
-        if not open_.any():
-            break
-        at = int(open_.argmax())
-    node.centres = np.array([c.centre for c in node.children])
-    node.radii = np.array([c.radius for c in node.children])
+    near = _within(level / 2)
+    # the centre first, then whatever isn't within half the level of a child yet, some at a time
+    left = np.concatenate(([centre], members[members != centre]))
+    while len(left):
+        some = left[:64]
+        close = v[some] @ v[left].T >= near
+        open_ = np.ones(len(left), bool)
+        for i, c in enumerate(some.tolist()):
+            if not open_[i]:
+                continue
+            own = close[i] & open_
+            own[i] = True
+            open_ &= ~own
+            if own.sum() == 1:
+                node.children.append(Node(c, 0.0, left[i : i + 1]))
+            else:
+                node.children.append(cover_tree(v, left[own], c, level / 2, leaf, reach))
+        left = left[open_]
+    node.settle(leaf, reach)
     return node
 
 
-def dual(a: Node, x: np.ndarray, b: Node, y: np.ndarray, similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of vectors of x and y whose cosine may be similar; if a is b, each pair is given once, the smaller first."""
-    reach = float(_distance(np.array(similar))) + SLACK
-    todo = [(a, b)]
+class Links:
+    """Links among the vectors of one shard and a block of its visitors: each one's number, and a forest that joins what is linked."""
+
+    def __init__(self, n: int):
+        self.count = np.zeros(n, np.int64)
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root
+        while True:
+            a, b = root[i], root[j]
+            other = a != b
+            if not other.any():
+                return
+            i, j, a, b = i[other], j[other], a[other], b[other]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root[:] = up
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """These are linked; no pair comes twice."""
+        if len(i):
+            n = len(self.count)
+            self.count += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            self.join(i, j)
+
+    def whole(self, a: np.ndarray, b: np.ndarray | None = None) -> None:
+        """All of a are linked with all of b, or among themselves."""
+        if b is None:
+            self.count[a] += len(a) - 1
+            self.join(a[1:], np.full(len(a) - 1, a[0]))
+        else:
+            self.count[a] += len(b)
+            self.count[b] += len(a)
+            every = np.concatenate((a, b))
+            self.join(every[1:], np.full(len(every) - 1, every[0]))
+
+
+def dual(a: Node, b: Node, v: np.ndarray, low: np.ndarray, similar: float, links: Links) -> None:
+    """Counts the pairs of vectors below a and b whose cosine is similar; if a is b, each pair once. low is v in 32 bits."""
+    reach = float(_distance(np.array(similar)))
+    far, sure = reach + SLACK, reach - SLACK
+    screen = np.float32(similar - 1e-5)  # more than 32 bits can err by
+
+    def flat(x: np.ndarray, y: np.ndarray, same: bool = False) -> None:
+        if not len(x) or not len(y):
+            return
+        step = max(1, AREA // len(y))
+        for i in range(0, len(x), step):
+            rest = y[i:] if same else y
+            p, q = np.divmod(np.flatnonzero(low[x[i : i + step]] @ low[rest].T >= screen), len(rest))
+            if same:  # the upper triangle
+                p, q = p[q > p], q[q > p]
+            if len(p):
+                p, q = x[i + p], rest[q]
+                good = np.round(np.einsum("ij,ij->i", v[p], v[q]), 9) >= similar
+                links.pairs(p[good], q[good])
+
+    todo: list[tuple[Node, Node | np.ndarray]] = [(a, b)]
     while todo:
         a, b = todo.pop()
-        if not a.children and not b.children:
-            i, j = np.nonzero(x[a.members] @ y[b.members].T >= similar - SLACK)
-            i, j = a.members[i], b.members[j]
-            if a is b:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                yield i, j
-            continue
-        left, right = a.children or [a], b.children or [b]
-        ca, ra = (a.centres, a.radii) if a.children else (np.array([a.centre]), np.array([a.radius]))
-        cb, rb = (b.centres, b.radii) if b.children else (np.array([b.centre]), np.array([b.radius]))
-        near = _distance(x[ca] @ y[cb].T) <= reach + ra[:, None] + rb
-        if a is b:
-            near = np.triu(near)
-        single = (ra == 0)[:, None] & (rb == 0)
-        i, j = np.nonzero(near & single)
-        if len(i):
-            i, j = ca[i], cb[j]
-            if a is b:
-                other = i != j
-                i, j = np.minimum(i, j)[other], np.maximum(i, j)[other]
-            yield i, j
-        todo += [(left[i], right[j]) for i, j in zip(*(k.tolist() for k in np.nonzero(near & ~single)))]
+        if isinstance(b, np.ndarray):  # a node and single vectors
+            d = _distance(v[b] @ v[a.centre])
+            whole = d + a.radius <= sure
+            if whole.any():
+                links.whole(a.members, b[whole])
+            b = b[~whole & (d <= far + a.radius)]
+            if len(b):
+                flat(a.flat, b)
+                todo += [(x, b) for x in a.wide]
+        elif a is b:
+            if 2 * a.radius <= sure:
+                links.whole(a.members)
+                continue
+            flat(a.flat, a.flat, True)
+            for i, x in enumerate(a.wide):
+                todo += [(x, a.flat), (x, x)]
+                d = _distance(v[a.centres[i + 1 :]] @ v[x.centre])
+                todo += [(x, a.wide[i + 1 + j]) for j in np.flatnonzero(d <= far + x.radius + a.radii[i + 1 :]).tolist()]
+        else:
+            d = float(_distance(v[a.centre] @ v[b.centre]))
+            if d + a.radius + b.radius <= sure:
+                links.whole(a.members, b.members)
+                continue
+            flat(a.flat, b.flat)
+            todo += [(x, b.flat) for x in a.wide if len(b.flat)] + [(y, a.flat) for y in b.wide if len(a.flat)]
+            if a.wide and b.wide:
+                d = _distance(v[a.centres] @ v[b.centres].T)
+                todo += [(a.wide[i], b.wide[j]) for i, j in zip(*(k.tolist() for k in np.nonzero(d <= far + a.radii[:, None] + b.radii)))]
 
 
-def near_pairs(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", similar: float = SIMILAR, cell: int = CELL) -> DataFrame:
-    """(a, b, cosine) of all pairs with a cosine of at least similar, a < b."""
-    found = cells(df, id_column, vector, cell)
-    if found is None:
-        return df.sparkSession.createDataFrame([], "a long, b long, cosine double")
-    (homes, pivots, radii), dim = found
-    reach = float(_distance(np.array(similar))) + SLACK
-    shared = df.sparkSession.sparkContext.broadcast((pivots, radii))
+def _visit(spaces, wide: bool, limit, choose):
+    """A map over vectors to the shards, not their own, whose cells may hold any within their limit; choose says which of both shards."""
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = Cells(homes=None, pivots=shared.value[0], radii=shared.value[1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                home = batch["home"].to_numpy()
-                low = where.bounds(_of(batch["v"], dim), home)
-                low[np.arange(len(home)), home] = 0
-                # a pair of two cells is looked for in the later one
-                row, to = np.nonzero((low <= reach) & (np.arange(low.shape[1]) >= home[:, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(to != home[row]), batch["id"].take(pa.array(row)), pa.array(np.zeros(len(row))), batch["v"].take(pa.array(row))], ["cell", "visitor", "id", "bound", "v"])
+            home, shard, bound = batch["cell"].to_numpy(), batch["shard"].to_numpy(), limit(batch)
+            for dim, every in _groups(batch["dim"].to_numpy()):
+                s: Space = spaces.value[dim]
+                number, of = s.shards()
+                step = max(1, AREA // len(number))
+                for i in range(0, len(every), step):
+                    rows = every[i : i + step]
+                    low = s.bounds(_of(batch["v"].take(pa.array(rows)), wide), home[rows])
+                    row, to = np.nonzero((low[:, of] <= bound[rows][:, None]) & choose(shard[rows][:, None], number))
+                    at = pa.array(rows[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[to].astype(np.int32)), pa.array(np.ones(len(to), bool)), batch["id"].take(at), pa.array(bound[rows[row]]), batch["v"].take(at)], ["shard", "visitor", "id", "bound", "v"])
+
+    return run
+
+
+def _residents(homes: DataFrame) -> DataFrame:
+    return homes.select("shard", F.lit(False).alias("visitor"), "id", F.lit(0.0).alias("bound"), "v")
+
+
+def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", similar: float = SIMILAR, cell: int = CELL) -> DataFrame:
+    """(vec_id, class_id, links) of each vector: with how many others it has a cosine of at least similar, and the least id that such links lead to."""
+    spark, made = df.sparkSession, []
+    found = cells(df, id_column, vector, cell, made)
+    if found is None:
+        common.discard(spark, made)
+        return spark.createDataFrame([], "vec_id long, class_id long, links long")
+    (homes, spaces, shards), wide = found
+    reach = float(_distance(np.array(similar))) + SLACK
+    shared = spark.sparkContext.broadcast(spaces)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: list[tuple[Held, Node]] = []
-        cell = -1
-        for at, visits, h in _by_cell(batches, dim, BLOCK):
-            if at != cell:
-                cell, here = at, []
-            blocks = [Held(*(a[i : i + BLOCK] for a in h)) for i in range(0, len(h.ids), BLOCK)]
-            for one in blocks:
-                tree = cover_tree(one.v)
-                if not visits:
-                    here.append((one, tree))
-                for other, node in here:
-                    for i, j in dual(tree, one.v, node, other.v, similar):
-                        cosine = np.round(np.einsum("ij,ij->i", one.v[i], other.v[j]), 9)
-                        ok = cosine >= similar
-                        p, q = one.ids[i[ok]], other.ids[j[ok]]
-                        if len(p):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(cosine[ok])], ["a", "b", "cosine"])
-
-    n = max(len(pivots), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    visits = homes.mapInArrow(visit, VISITS).repartition(n, "cell").sortWithinPartitions("cell", "visitor")
-    return visits.mapInArrow(join, "a long, b long, cosine double")
+        def out(ids: np.ndarray, links: Links, at: np.ndarray) -> pa.RecordBatch:
+            at = at[links.count[at] > 0]
+            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links.count[at]), pa.array(ids[links.root[at]])], ["id", "links", "other"])
+
+        here = None
+        for shard, visits, h in _by_shard(batches, wide, BLOCK):
+            if not visits:
+                here, at = h, shard
+                n, low = len(h.ids), h.v.astype(np.float32)
+                tree, total = cover_tree(h.v, reach=reach), Links(n)
+                dual(tree, tree, h.v, low, similar, total)
+            elif here is not None and at == shard:
+                both = np.concatenate((here.v, h.v))
+                links = Links(len(both))
+                links.root[:n] = total.root
+                other = cover_tree(both, np.arange(n, len(both)), n, reach=reach)
+                dual(tree, other, both, np.concatenate((low, h.v.astype(np.float32))), similar, links)
+                total.count += links.count[:n]
+                total.root[:] = links.root[:n]
+                yield out(np.concatenate((here.ids, h.ids)), links, np.arange(n, len(both)))
+            if here is not None and at != shard:
+                here = None
+        if here is not None:
+            yield out(here.ids, total, np.arange(n))
+
+    # of two shards the one with the lesser number is visited if the numbers' sum is odd, else the other
+    visit = _visit(shared, wide, lambda batch: np.full(len(batch), reach), lambda own, to: (own != to) & ((own > to) == ((own + to) % 2 == 1)))
+    visits = _residents(homes).union(homes.mapInArrow(visit, VISITS))
+    some = common.cut(_parted(visits, shards).mapInArrow(join, "id long, links long, other long"), made)
+    classes = components(some.select("id", "other"), made).select(F.col("id").alias("vec_id"), F.col("least").alias("class_id"))
+    links = some.groupBy(F.col("id").alias("vec_id")).agg(F.sum("links").alias("links"))
+    every = homes.select(F.col("id").alias("vec_id")).join(links, "vec_id", "left").join(classes, "vec_id", "left")
+    result = common.cut(every.select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")))
+    common.discard(spark, made)
+    return result
 
 
 class VantageTree:
-    """Vectors in leaves; each leaf's path says how far its vectors are, at least and at most, from the vantage points above it."""
+    """A binary tree over vectors: a node's vantage point, and how far from it the vectors of either child are, at least and at most."""
 
     def __init__(self, v: np.ndarray, leaf: int = LEAF):
-        self.leaves: list[np.ndarray] = []
-        self.paths: list[list[tuple[int, float, float]]] = []  # (vantage point, least, most)
-        points: list[int] = []
-        todo: list[tuple[np.ndarray, list[tuple[int, float, float]]]] = [(np.arange(len(v)), [])]
-        while todo:
-            members, path = todo.pop()
-            if len(members) <= leaf:
-                self.leaves.append(members)
-                self.paths.append(path)
-                continue
-            p = int(members[len(members) // 2])
-            d = _distance(v[members] @ v[p])
-            order = np.argsort(d, kind="stable")
-            half = len(order) // 2
-            points.append(p)
-            for part in (order[:half], order[half:]):
-                todo.append((members[part], [*path, (len(points) - 1, float(d[part[0]]) - SLACK, float(d[part[-1]]) + SLACK)]))
-        self.points = np.array(points, np.int64)
-
-    def bounds(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """A lower bound of the distance from each query to each leaf's vectors."""
-        out = np.zeros((len(q), len(self.leaves)))
-        if len(self.points):
-            d = _distance(q @ v[self.points].T)
-            for i, path in enumerate(self.paths):
-                for p, least, most in path:
-                    np.maximum(out[:, i], np.maximum(d[:, p] - most, least - d[:, p]), out=out[:, i])
-        return out
-
-
-def search(tree: VantageTree, v: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        self.v = v
+        self.root = self._node(np.arange(len(v)), leaf)
+
+    def _node(self, members: np.ndarray, leaf: int) -> np.ndarray | tuple:
+        if len(members) <= leaf:
+            return members
+        p = int(members[len(members) // 2])
+        d = _distance(self.v[members] @ self.v[p])
+        order = np.argsort(d, kind="stable")
+        half = len(order) // 2
+        parts = (order[:half], order[half:])
+        spans = [(float(d[x[0]]) - SLACK, float(d[x[-1]]) + SLACK) for x in parts]
+        return p, spans, [self._node(members[x], leaf) for x in parts]
+
+
+def search(tree: VantageTree, ids: np.ndarray, q: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
     """(cosines, ids) of each query's k nearest that are within its bound, the rest being -inf and -1; own: the ids of the queries, which aren't neighbours."""
     best = np.full((len(q), k), -np.inf)
     who = np.full((len(q), k), -1, np.int64)
     tau = bound.copy()
-    low = tree.bounds(v, q) * factor
 
-    def look(leaf: int, rows: np.ndarray) -> None:
-        members = tree.leaves[leaf]
-        cosine = np.round(q[rows] @ v[members].T, 9)
+    def look(members: np.ndarray, rows: np.ndarray) -> None:
+        cosine = np.round(q[rows] @ tree.v[members].T, 9)
         cosine[own[rows][:, None] == ids[members]] = -np.inf
         hit = np.flatnonzero((_distance(cosine) <= tau[rows][:, None] + SLACK).any(1))
         if not len(hit):
@@ -295,83 +477,86 @@ def search(tree: VantageTree, v: np.ndarray, ids: np.ndarray, q: np.ndarray, own
         rows = rows[hit]
         every = np.concatenate((best[rows], cosine[hit]), 1)
         name = np.concatenate((who[rows], np.broadcast_to(ids[members], (len(rows), len(members)))), 1)
-        if every.shape[1] > 4 * k:  # all that tie with the k-th, and better ones
-            part = -np.partition(-every, k - 1, axis=1)[:, k - 1]
-            width = max(k, int((every >= part[:, None]).sum(1).max()))
-            top = np.argpartition(-every, min(width, every.shape[1]) - 1, axis=1)[:, :width]
-            every, name = np.take_along_axis(every, top, 1), np.take_along_axis(name, top, 1)
         order = np.lexsort((name, -every), axis=1)[:, :k]
         best[rows], who[rows] = np.take_along_axis(every, order, 1), np.take_along_axis(name, order, 1)
-        tau[rows] = np.minimum(tau[rows], _distance(np.maximum(best[rows, k - 1], -1)) + np.where(np.isinf(best[rows, k - 1]), np.inf, 0))
-
-    nearest = low.argmin(1)
-    for leaf in range(len(tree.leaves)):
-        rows = np.flatnonzero(nearest == leaf)
-        if len(rows):
-            look(leaf, rows)
-    for leaf in range(len(tree.leaves)):
-        rows = np.flatnonzero((nearest != leaf) & (low[:, leaf] <= tau))
-        if len(rows):
-            look(leaf, rows)
+        last = best[rows, k - 1]
+        tau[rows] = np.minimum(tau[rows], np.where(np.isinf(last), np.inf, _distance(np.maximum(last, -1))))
+
+    def walk(node: np.ndarray | tuple, rows: np.ndarray, low: np.ndarray) -> None:
+        near = low * factor <= tau[rows] + SLACK
+        rows, low = rows[near], low[near]
+        if not len(rows):
+            return
+        if isinstance(node, np.ndarray):
+            look(node, rows)
+            return
+        p, spans, children = node
+        d = _distance(q[rows] @ tree.v[p])
+        inner, outer = (np.maximum(low, np.maximum(d - most, least - d)) for least, most in spans)
+        first = inner <= outer
+        # each query goes down its nearer branch first
+        walk(children[0], rows[first], inner[first])
+        walk(children[1], rows[~first], outer[~first])
+        walk(children[1], rows[first], outer[first])
+        walk(children[0], rows[~first], inner[~first])
+
+    walk(tree.root, np.arange(len(q)), np.zeros(len(q)))
     return best, np.where(np.isinf(best), -1, who)
 
 
-def neighbours(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k: int = K, factor: float = FACTOR, cell: int = CELL) -> DataFrame:
-    """(id, rank, neighbour, cosine): of each vector the k nearest others, by cosine and then id, rank from 1."""
-    found = cells(df, id_column, vector, cell)
-    spark = df.sparkSession
+def neighbours(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k: int = K, factor: float = FACTOR, cell: int = CELL, every: int = EVERY) -> DataFrame:
+    """(id, rank, neighbour, cosine): of each vector whose id is a multiple of every, the k nearest of all others, by cosine and then id, rank from 1."""
+    spark, made = df.sparkSession, []
+    found = cells(df, id_column, vector, cell, made)
     if found is None:
+        common.discard(spark, made)
         return spark.createDataFrame([], "id long, rank long, neighbour long, cosine double")
-    (homes, pivots, radii), dim = found
-    shared = spark.sparkContext.broadcast((pivots, radii))
-    n = max(len(pivots), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    result = "id long, neighbour long, cosine double"
-
-    def rows(ids: np.ndarray, best: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
-        i, j = np.nonzero(who >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(who[i, j]), pa.array(best[i, j])], ["id", "neighbour", "cosine"])
+    (homes, spaces, shards), wide = found
+    shared = spark.sparkContext.broadcast(spaces)
+    queries = homes.filter(F.pmod("id", F.lit(every)) == 0)
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, here = None, None
-        for at, visits, h in _by_cell(batches, dim, BLOCK):
+        here = None
+        for shard, visits, h in _by_shard(batches, wide, BLOCK):
             if not visits:
-                tree, here, cell = VantageTree(h.v), h, at
-            elif here is None or at != cell:
-                continue  # a cell that is only visited has no vectors
-            for i in range(0, len(h.ids), BLOCK):
-                b = Held(*(a[i : i + BLOCK] for a in h))
-                if visits or b.bound[0] < 0:  # residents look around once
-                    yield rows(b.ids, *search(tree, here.v, here.ids, b.v, b.ids, np.where(b.bound < 0, np.inf, b.bound), k, factor))
-
-    def parted(visits: DataFrame) -> DataFrame:
-        return visits.repartition(n, "cell").sortWithinPartitions("cell", "visitor").mapInArrow(seek, result)
-
-    # at home: bound -1 asks for the residents' own neighbours there
-    home = homes.select(F.col("home").alias("cell"), F.lit(False).alias("visitor"), "id", F.lit(-1.0).alias("bound"), "v")
-    first = common.cut(parted(home))
-    if len(pivots) == 1:
-        every = first
-    else:
+                tree, here, at = VantageTree(h.v), h, shard
+            elif here is not None and at == shard:  # else a shard without vectors
+                best, who = search(tree, here.ids, h.v, h.ids, h.bound, k, factor)
+                i, j = np.nonzero(who >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(h.ids[i]), pa.array(who[i, j]), pa.array(best[i, j])], ["id", "neighbour", "cosine"])
+
+    def sought(visits: DataFrame) -> DataFrame:
+        return common.cut(_parted(_residents(homes).union(visits), shards).mapInArrow(seek, "id long, neighbour long, cosine double"), made)
+
+    # at home first, which bounds how far to look elsewhere
+    first = sought(queries.select("shard", F.lit(True).alias("visitor"), "id", F.lit(float("inf")).alias("bound"), "v"))
+    every_one = first
+    if shards > 1:
         tau = first.groupBy("id").agg(F.min("cosine").alias("worst"), F.count("*").alias("n")).filter(F.col("n") >= k).select("id", "worst")
 
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            where = Cells(homes=None, pivots=shared.value[0], radii=shared.value[1])
-            for batch in batches:
-                if len(batch):
-                    home = batch["home"].to_numpy()
-                    worst = batch["worst"].to_numpy(zero_copy_only=False)
-                    bound = np.where(np.isnan(worst), np.inf, _distance(np.nan_to_num(worst)))
-                    low = where.bounds(_of(batch["v"], dim), home) * factor
-                    row, to = np.nonzero((low <= bound[:, None]) & (np.arange(low.shape[1]) != home[:, None]))
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(row), bool)), batch["id"].take(pa.array(row)), pa.array(bound[row]), batch["v"].take(pa.array(row))], ["cell", "visitor", "id", "bound", "v"])
-
-        away = homes.join(tau, "id", "left").select("id", "v", "home", "worst").mapInArrow(visit, VISITS)
-        every = first.union(parted(home.withColumn("bound", F.lit(0.0)).union(away)))
+        def limit(batch: pa.RecordBatch) -> np.ndarray:
+            worst = batch["worst"].to_numpy(zero_copy_only=False)
+            return np.where(np.isnan(worst), np.inf, _distance(np.nan_to_num(worst)) / factor + SLACK)
+
+        away = queries.join(tau, "id", "left").mapInArrow(_visit(shared, wide, limit, lambda own, to: own != to), VISITS)
+        # the search takes the bound of the k-th neighbour itself
+        away = away.withColumn("bound", F.col("bound") * factor)
+        every_one = first.union(sought(away))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
-    return every.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "cosine")
+    result = common.cut(every_one.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("id", "rank", "neighbour", "cosine"))
+    common.discard(spark, made)
+    return result
+
+
+def links_sql(similar: float) -> str:
+    """near_vectors() in SQL: all pairs, and from every vector all that links lead to."""
+    return f"""WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS norm FROM e),
+p AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id <> y.id WHERE round(list_dot_product(x.v, y.v) / (x.norm * y.norm), 9) >= {similar}),
+r AS (SELECT id, id AS other FROM e UNION SELECT r.id, p.b FROM r JOIN p ON r.other = p.a),
+c AS (SELECT id, min(other) AS class_id FROM r GROUP BY id), l AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT c.id AS vec_id, c.class_id, CAST(coalesce(l.links, 0) AS BIGINT) AS links FROM c LEFT JOIN l ON c.id = l.a"""
 
 
-_NORMAL_SQL = "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS norm FROM e)"
-PAIRS_SQL = f"{_NORMAL_SQL}, p AS (SELECT x.id AS a, y.id AS b, round(list_dot_product(x.v, y.v) / (x.norm * y.norm), 9) AS cosine FROM n x JOIN n y ON x.id < y.id) SELECT a, b, cosine FROM p WHERE cosine >= {SIMILAR}"
-NEIGHBOURS_SQL = f"""{_NORMAL_SQL}, p AS (SELECT x.id, y.id AS neighbour, round(list_dot_product(x.v, y.v) / (x.norm * y.norm), 9) AS cosine FROM n x JOIN n y ON x.id <> y.id),
+NEIGHBOURS_SQL = f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS norm FROM e),
+p AS (SELECT x.id, y.id AS neighbour, round(list_dot_product(x.v, y.v) / (x.norm * y.norm), 9) AS cosine FROM n x JOIN n y ON x.id <> y.id WHERE x.id % {EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour) AS rank FROM p) SELECT id, rank, neighbour, cosine FROM r WHERE rank <= {K}"""

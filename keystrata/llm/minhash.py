@@ -218,7 +218,6 @@ def _rest(k: int, similar: float):
 def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, made: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, lead) of near duplicates, lead < doc_id: their components are those of all similar pairs that share a bucket. made gets the tables that it reads."""
     spark, k = docs.sparkSession, bands * rows
-    common.batch_rows(spark)
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     signed = common.cut(d.mapInArrow(_sign(bands, rows), "doc_id long, sig binary, bands array<long>"), made)
     # texts of one signature, by 128 bits of it

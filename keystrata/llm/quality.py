@@ -157,7 +157,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def document_quality(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, quality, n_lines, n_bad_lines, keep) of each row of docs."""
-    common.batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +170,6 @@ def document_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_bad_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs, in the same columns, without those that are rejected."""
-    common.batch_rows(docs.sparkSession)
     plain, (text,) = common.numbered(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

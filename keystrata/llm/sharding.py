@@ -72,7 +72,7 @@ def even(n: int, shards: int) -> np.ndarray:
 def shuffle(docs: DataFrame, shards: int = SHARDS, sizes: list[int] | None = None, seed: int = SEED) -> DataFrame:
     """docs with each row's shard and its position there, from 0."""
     spark = docs.sparkSession
-    docs = docs.select(*(common.col(docs, c) for c in docs.columns if c not in ("shard", "position")))
+    docs = common.without(docs, "shard", "position")
     plain, _ = common.numbered(docs)
     plan = plain._jdf.queryExecution().executedPlan().toString()
     if "Scan parquet" not in plan or any(x in plan for x in ("Exchange", "Join", "Limit", "Sort")):

@@ -204,7 +204,6 @@ def _count(k: int, enough: int = 20_000):
 
 def repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(doc_id, key, a, b, first, copies): maximal runs a to b - 1 of windows that stand at least twice in docs, apart by whether they are the windows' first occurrence."""
-    common.batch_rows(docs.sparkSession)
     d = common.narrow(docs, doc_id="doc_id", text="text")
     d = d.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
