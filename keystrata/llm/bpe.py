@@ -3,12 +3,15 @@
 A text is split into pieces as by the usual pattern: contractions; runs of letters, of digits, or of other marks, each with a
 space before it if there is one; white space. A piece is held as a contiguous array of part boundaries with the rank of each
 part joined to the next. The least rank is looked for, the boundary between its two parts deleted, and the ranks on both
-sides refreshed, until no two parts can be joined; in a piece of more than LONG bytes a heap finds the least rank. The pieces that are new to a task are merged side by side, row by row of
-one matrix; their ids are kept for the pieces' next occurrence, and forgotten when there are more than REMEMBERED.
+sides refreshed, until no two parts can be joined; in a piece of more than LONG bytes, a parameter, a heap finds the least
+rank, with the same result. The pieces that are new to a task are merged side by side, row by row of one matrix; their ids
+are kept for the pieces' next occurrence, which is told by the pieces' bytes, and forgotten when there are more than
+REMEMBERED pieces, or REMEMBERED_BYTES of pieces of over WORDS * 8 bytes.
 
 Null texts have null tokens; empty ones none. Texts are encoded whole, without special tokens. Rows without a doc_id and rows
 that repeat one are encoded like any other. Only doc_id and text are read; encode_documents keeps the other columns, and
 replaces one of the name tokens or n_tokens. An empty table gives an empty result. Decoding a text's tokens gives its bytes.
+Ids that aren't integers are an error. The vocabulary is read by the driver and sent to the tasks; it has a bounded size.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -31,8 +34,14 @@ from keystrata.llm import common, text as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces whose ids a task keeps.
 REMEMBERED = 400_000
+#: Bytes of such pieces of over WORDS * 8 bytes.
+REMEMBERED_BYTES = 8 << 20
+#: 64-bit words that a piece is compared by.
+WORDS = 8
 #: Bytes of a piece from which its ranks are in a heap.
 LONG = 256
+#: Most bytes of a vocabulary's file.
+VOCABULARY_BYTES = 64 << 20
 _NONE = np.int32((1 << 31) - 1)
 LETTER, DIGIT, WHITE, MARK = 0, 1, 2, 3
 
@@ -102,9 +111,8 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Ranks of byte strings, by pairs of ids."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, text: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in text.splitlines() if line.strip())}
         self.size = max(ranks.values()) + 1
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         tokens = [b""] * self.size
@@ -157,7 +165,7 @@ class Vocabulary:
                 break
         return out
 
-    def merge(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, how many each has)."""
         n = len(start)
         count = np.empty(n, np.int64)
@@ -165,7 +173,7 @@ class Vocabulary:
         done: list[tuple[np.ndarray, np.ndarray]] = []
         lo = 0
         while lo < n:  # pieces of like length together
-            if length[order[lo]] > LONG:
+            if length[order[lo]] > long:
                 rows = order[lo : lo + 1]
                 a = int(start[rows[0]])
                 ids = self._merge_long(data[a : a + int(length[rows[0]])])
@@ -173,7 +181,7 @@ class Vocabulary:
                 done.append((rows, ids))
                 lo += 1
                 continue
-            longest = min(LONG, max(16, int(length[order[lo]]) * 5 // 4))
+            longest = min(long, max(16, int(length[order[lo]]) * 5 // 4))
             hi = int(np.searchsorted(length[order], longest, "right"))
             hi = max(lo + 1, min(hi, lo + max(1, (1 << 20) // longest)))
             rows = order[lo:hi]
@@ -269,51 +277,131 @@ class Vocabulary:
 
 
 @lru_cache(2)
+def _parsed(text: bytes) -> Vocabulary:
+    return Vocabulary(text)
+
+
+def _file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        text = f.read(VOCABULARY_BYTES + 1)
+    if len(text) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has more than {VOCABULARY_BYTES} bytes")
+    return text
+
+
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return _parsed(_file(path))
+
+
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], T.U)
+_BYTES_KEY = T.U(255 << 56)
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a with room for n rows, doubled when there isn't."""
+    if n <= len(a):
+        return a
+    out = np.zeros((max(n, 2 * len(a)), *a.shape[1:]), a.dtype)
+    out[: len(a)] = a
+    return out
 
 
 class Encoder:
-    """Encodes chunks of texts; remembers pieces."""
+    """Encodes chunks of texts; remembers pieces.
+
+    A piece's key is its length and, up to 7 bytes, the bytes themselves; up to WORDS * 8 bytes a hash, which counts for
+    nothing unless the bytes agree, too; beyond that, its number in a dictionary of byte strings.
+    """
 
-    def __init__(self, v: Vocabulary):
-        self.v = v
+    def __init__(self, v: Vocabulary, long: int = LONG):
+        self.v, self.long = v, long
         self.place: dict[int, int] = {}
-        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int32)
+        self.strings: dict[bytes, int] = {}
+        self.held = 0  # bytes of strings
+        self.n = self.m = 0  # pieces and ids that are kept
+        self.first, self.count = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.words = np.zeros((1024, WORDS), T.U)
+        self.ids = np.empty(4096, np.int32)
+
+    def _named(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Keys of pieces by their bytes."""
+        out = np.empty(len(which), T.U)
+        for i, (a, b) in enumerate(zip(start[which].tolist(), end[which].tolist())):
+            piece = data[a:b].tobytes()
+            if piece not in self.strings:
+                self.strings[piece] = len(self.strings)
+                self.held += len(piece)
+            out[i] = self.strings[piece]
+        return out | _BYTES_KEY
 
     def encode(self, c: T.Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
         start = pieces(c.data, c.offsets)
         if not len(start):
             return np.empty(0, np.int32), np.zeros(len(c), np.int64)
+        if self.n > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.__init__(self.v, self.long)
         end = np.append(start[1:], len(c.data))
-        h = T.rolled(T.prefix(T._BYTE[c.data]), start, end) ^ (end - start).astype(T.U)
-        new, where, code = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.place) > REMEMBERED:
-            self.__init__(self.v)
-        keys = new.tolist()
-        place = np.array([self.place.get(k, -1) for k in keys], np.int64)
+        size = end - start
+        padded = np.concatenate((c.data, np.zeros(8 * WORDS, np.uint8)))
+        word = np.ndarray((len(c.data) + 8 * WORDS - 7,), "<u8", padded, 0, (1,))  # the 8 bytes from each place on
+        key = size.astype(T.U) << T.U(56) | word[start] & _MASK[np.minimum(size, 7)]
+        middle = np.flatnonzero((size > 7) & (size <= 8 * WORDS))
+        words, h = np.zeros((len(middle), WORDS), T.U), size[middle].astype(T.U)
+        for i in range(WORDS):
+            there = np.flatnonzero(size[middle] > 8 * i)
+            at = middle[there]
+            words[there, i] = word[start[at] + 8 * i] & _MASK[np.minimum(size[at] - 8 * i, 8)]
+            h[there] = self._mixed(h[there], words[there, i])
+        key[middle] = size[middle].astype(T.U) << T.U(56) | h >> T.U(8)
+        large = np.flatnonzero(size > 8 * WORDS)
+        key[large] = self._named(c.data, start, end, large)
+        row = np.full(len(start), -1)
+        row[middle] = np.arange(len(middle))
+        while True:
+            new, where, code = np.unique(key, return_index=True, return_inverse=True)
+            hashed = middle[key[middle] < _BYTES_KEY]
+            other = hashed[(words[row[hashed]] != words[row[where[code[hashed]]]]).any(1)]
+            if not len(other):
+                break
+            key[other] = self._named(c.data, start, end, other)  # pieces that share a hash only
+        place = np.array([self.place.get(k, -1) for k in new.tolist()], np.int64)
+        by_hash = np.flatnonzero((place >= 0) & (row[where] >= 0) & (new < _BYTES_KEY))
+        wrong = by_hash[(words[row[where[by_hash]]] != self.words[place[by_hash]]).any(1)]
+        place[wrong] = -1
         miss = np.flatnonzero(place < 0)
         if len(miss):
             s = start[where[miss]]
-            ids, count = self.v.merge(c.data, s, end[where[miss]] - s)
-            place[miss] = len(self.first) + np.arange(len(miss))
-            self.place.update(zip(new[miss].tolist(), place[miss].tolist()))
-            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(count) - count))
-            self.count = np.concatenate((self.count, count))
-            self.ids = np.concatenate((self.ids, ids))
+            ids, count = self.v.merge(c.data, s, end[where[miss]] - s, self.long)
+            n, m = self.n + len(miss), self.m + len(ids)
+            self.first, self.count, self.words, self.ids = _grown(self.first, n), _grown(self.count, n), _grown(self.words, n), _grown(self.ids, m)
+            place[miss] = np.arange(self.n, n)
+            self.first[self.n : n] = self.m + np.cumsum(count) - count
+            self.count[self.n : n] = count
+            self.ids[self.m : m] = ids
+            hashed = np.flatnonzero(row[where[miss]] >= 0)
+            self.words[self.n : n] = 0
+            self.words[self.n + hashed] = words[row[where[miss[hashed]]]]
+            for k, i in zip(new[miss].tolist(), place[miss].tolist()):
+                self.place.setdefault(k, i)
+            self.n, self.m = n, m
         at = place[code]
         n = self.count[at]
         total = np.concatenate(([0], np.cumsum(n)))
         piece = np.searchsorted(start, c.offsets)
         return self.ids[T.ragged(self.first[at], n)], np.diff(total[piece])
 
+    @staticmethod
+    def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return T.mix(h * T.U(0x9E3779B97F4A7C15) + word)
+
+
+def _encoded(spark: SparkSession, path: str, text: str, keep: bool, long: int):
+    held = spark.sparkContext.broadcast(_file(path))
 
-def _encoded(path: str, text: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        e = Encoder(v)
+        v = _parsed(held.value)
+        e = Encoder(v, long)
         for batch in batches:
             for c in T.chunks(batch[text]):
                 ids, n = e.encode(c)
@@ -334,27 +422,29 @@ def _encoded(path: str, text: str, keep: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, path: str = VOCABULARY, long: int = LONG) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip) of each row of docs; round_trip says whether decoding gave the text again."""
+    common.integers(docs, "doc_id")
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(_encoded(path, "text", False), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
+    return d.mapInArrow(_encoded(docs.sparkSession, path, "text", False, long), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
 
 
-def encode_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = VOCABULARY, long: int = LONG) -> DataFrame:
     """docs with the columns tokens and n_tokens."""
     docs = common.without(docs, "tokens", "n_tokens")
     plain, (text,) = common.numbered(docs, "text")
     schema = StructType([*plain.schema.fields, StructField("tokens", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
-    return plain.mapInArrow(_encoded(path, text, True), schema).toDF(*docs.columns, "tokens", "n_tokens")
+    return plain.mapInArrow(_encoded(docs.sparkSession, path, text, True, long), schema).toDF(*docs.columns, "tokens", "n_tokens")
 
 
 def decode(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """df with the column decoded, the text of its tokens: null for null; bytes that aren't UTF-8 are replaced; ids that the vocabulary hasn't are an error."""
     df = common.without(df, "decoded")
     plain, (tokens,) = common.numbered(df, "tokens")
+    held = df.sparkSession.sparkContext.broadcast(_file(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = _parsed(held.value)
         for batch in batches:
             out = [None if t is None else v.decode(np.array(t, np.int64)).tobytes().decode("utf-8", "replace") for t in batch[tokens].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
