@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 DEFAULTS = {
     "scanPruning": "true",  # skip files by their key ranges
     "vacuumRebuild": "true",  # vacuum() recomputes key ranges that aren't valid
+    "retainSeconds": "604800",  # vacuum() keeps what versions name that were the latest within so many seconds
     "lazyUpdate": "false",  # update() gives up the key ranges instead of keeping them
     "annTiming": "false",  # searches print how long their stages took
+    "levelCache": "4",  # so many graphs' levels stay with the tasks between searches; 0: none
     "graphPatience": "0",  # expansions without improvement after which a graph search stops; 0: none
     "broadcastBytes": str(256 << 20),  # most bytes of a model or graph that every task holds
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 from dataclasses import replace
@@ -15,6 +16,8 @@ from keystrata.sources.table import KeyTable
 
 #: Passes over the change log before the last one.
 PASSES = 10
+#: Times that the last one is tried while others keep publishing.
+TRIES = 50
 
 
 def _keyed(t: KeyTable) -> None:
@@ -33,8 +36,7 @@ def compact(t: KeyTable, files: int | None = None) -> KeyTable:
 
 def split_for_merge(m: Manifest) -> tuple[list[File], list[File]]:
     """(files that stay, files to rewrite): those of the sorted prefix that no later file's range meets stay."""
-    n = m.prefix if m.valid else 0
-    n = max(n, sorted_prefix(m.files, m.key) if m.valid else 0)
+    n = sorted_prefix(m.files, m.key) if m.valid else 0
     tail = m.files[n:]
     if not tail:
         return m.files, []
@@ -60,7 +62,7 @@ def merge(t: KeyTable) -> KeyTable:
     m = t.manifest
     kept, old = split_for_merge(m)
     if not old:
-        return t._publish(m.order()) if m.files and not (m.valid and m.sorted and m.prefix == len(m.files)) else t
+        return t._publish(m.order()) if m.files and m != m.order() else t
     made = t._write(t._clustered(t._read(old), len(old)))
     return t._publish(replace(m, files=_placed(m, kept, made)).order())
 
@@ -73,18 +75,27 @@ def rebuild(t: KeyTable) -> KeyTable:
     return t._publish(replace(m, files=[found[f.path] for f in m.files]).order())
 
 
-def vacuum(t: KeyTable, keep_versions: int = 1) -> list[str]:
-    """Removes the files that none of the last versions names, and the versions before them; rebuilds ranges that aren't valid. The removed files."""
+def vacuum(t: KeyTable, keep_versions: int = 1, retain: float | None = None) -> list[str]:
+    """Removes the files that no version in use names, and the versions before those; rebuilds ranges that aren't valid. The removed files.
+
+    In use are the last versions and those that were the latest within retain seconds (by default the setting retainSeconds),
+    for their readers' sake. Files that a writer has marked, of an online rewrite too, stay; so do orphans younger than retain.
+    """
+    retain = float(config.setting(t.spark, "retainSeconds")) if retain is None else retain
     if t.manifest.files and not t.manifest.valid and config.flag(t.spark, "vacuumRebuild"):
         rebuild(t)
-    versions = t.store.versions()
-    last = versions[-keep_versions:]
+    # in this order: what is written after the list is not in it, what is published after the marks were read is in a manifest
+    there, marked = t.store.data_files(), t.store.marked()
+    ages = t.store.ages()
+    versions = list(ages)
+    last = set(versions[-keep_versions:]) | {v for v, after in zip(versions, versions[1:]) if ages[after] < retain}
     named = {f.path for v in last for f in t.store.load(v).files}
-    gone = [p for p in t.store.data_files() if p not in named]
+    gone = [p for p, age in there if p not in named and p.split("/")[1] not in marked and age >= retain]
     for p in gone:
         t.store.delete(p)
-    for v in versions[: -len(last)]:
-        t.store.delete(f"_manifest/v{v:012d}.json")
+    for v in versions:
+        if v not in last:
+            t.store.delete(f"_manifest/v{v:012d}.json")
     return gone
 
 
@@ -99,7 +110,8 @@ class Online:
     """A rewrite beside readers and writers: begin() starts the change log and copies a snapshot; finish() replays the log and takes over.
 
     Changes are replayed by the whole key, the last one of a key winning, in at most PASSES passes and a last one; if another
-    version is published in between, the last one is done again. The table needs a primary key.
+    version is published in between, the last one is done again, after a longer and longer pause, at most TRIES times. Only
+    entries of the log that a published version names are replayed. The table needs a primary key.
     """
 
     def __init__(self, t: KeyTable, merging: bool = False):
@@ -109,7 +121,8 @@ class Online:
         self.t, self.merging = t, merging
         self.kept: list[File] = []
         self.made: list[File] = []
-        self.seen = 0
+        self.seen = 0  # entries of the log that were replayed
+        self.version = 0
         self.log = ""
 
     def begin(self) -> "Online":
@@ -117,9 +130,9 @@ class Online:
         if t.manifest.log:
             raise Conflict(f"{t.manifest.log} says that {t.path} is being maintained already")
         self.log = f"_log/{int(time.time() * 1000):015d}"
-        t._publish(replace(t.manifest, log=self.log))
+        t._publish(replace(t.manifest, log=self.log, entries=[]))
         m = t.manifest
-        self.seen = m.version
+        self.version = m.version
         if self.merging:
             self.kept, old = split_for_merge(m)
         else:
@@ -127,14 +140,10 @@ class Online:
         self.made = t._write(t._clustered(t._read(old), max(1, len(old)))) if old else []
         return self
 
-    def changes(self, upto: int) -> DataFrame | None:
+    def changes(self) -> DataFrame | None:
         """The last action on each key that the log has after what was replayed."""
         t = self.t
-        folder = t.store._path(f"{t.path}/{self.log}")
-        if not t.store.fs.exists(folder):
-            return None
-        names = [s.getPath().getName() for s in t.store.fs.listStatus(folder)]
-        names = [n for n in names if self.seen <= int(n[:12]) < upto]
+        names = t.manifest.entries[self.seen :]
         if not names:
             return None
         keys = [k for k, _ in t.manifest.key]
@@ -146,23 +155,35 @@ class Online:
     def replay(self) -> bool:
         """Works in what came since; whether there was anything."""
         t = self.t.refresh()
-        upto = t.manifest.version
-        found = self.changes(upto)
+        if t.manifest.log != self.log:
+            raise Conflict(f"the maintenance of {t.path} was given up by another")
+        found = self.changes()
+        self.seen, self.version = len(t.manifest.entries), t.manifest.version
         if found is None:
-            self.seen = upto
             return False
         keys = [k for k, _ in t.manifest.key]
         names = [c.physical for c in t.manifest.columns]
-        low, high = found.agg(F.min(keys[0]), F.max(keys[0])).first()
-        files = self.kept + self.made
-        hit = [f for f in files if None in f.span(0) or (f.span(0)[0] <= high and f.span(0)[1] >= low)]
-        paths = {f.path for f in hit}
-        rest = t._read(hit).join(found.select(*keys), keys, "left_anti").select(*names)
-        new = found.filter("__action <> 'D'").select(*names)
-        made = t._write(t._clustered(rest.union(new), max(1, len(hit))))
-        self.kept = [f for f in self.kept if f.path not in paths]
-        self.made = [f for f in self.made if f.path not in paths] + made
-        self.seen = upto
+        for c in names:  # a column that no entry has yet
+            if c not in found.columns:
+                found = found.withColumn(c, F.lit(None).cast(next(x.type for x in t.manifest.columns if x.physical == c)))
+        of = t.at(t.manifest.version)
+        of.manifest = replace(t.manifest, files=_placed(t.manifest, self.kept, self.made), valid=True)
+        of._open = t._open
+        logical = of._logical(found.select(*names))
+        touched = logical.select(*of._names()).distinct()
+        new = of._logical(found.filter("__action <> 'D'").select(*names))
+        hit = of._hit(of.holding(touched.select(f"`{of._names()[0]}`")), lambda rows: rows.join(touched, of._names(), "left_semi"))
+        files = of.manifest.files
+        if not files or any(None in f.span(0) for f in files):
+            made = t._write(t._clustered(of._physical(new)))
+            files = of._rewritten(hit, lambda rows: rows.join(touched, of._names(), "left_anti").select(rows.columns)) + made
+        else:
+            new = of._owned(new)
+            owners = {r[0] for r in new.select("__file").distinct().collect()}  # names of files
+            both = {f.path for f in hit} | owners
+            files = of._rewritten([f for f in files if f.path in both], lambda rows: rows.join(touched, of._names(), "left_anti").select(rows.columns), new)
+        paths = {f.path for f in self.kept}
+        self.kept, self.made = [f for f in files if f.path in paths], [f for f in files if f.path not in paths]
         return True
 
     def finish(self) -> KeyTable:
@@ -170,21 +191,24 @@ class Online:
         for _ in range(PASSES):
             if not self.replay():
                 break
-        while True:
+        for n in range(TRIES):
             self.replay()
-            m = t.refresh().manifest
-            if m.version != self.seen:
-                continue
+            m = t.manifest
             try:
-                t._publish(replace(m, files=_placed(m, self.kept, self.made), log=None).order())
+                t._publish(replace(m, files=_placed(m, self.kept, self.made), log=None, entries=[]).order())
             except Conflict:
+                time.sleep(min(5.0, 0.05 * 2**n) * random.random())
                 continue
             t.store.delete(self.log)
             return t
+        raise Conflict(f"others kept writing to {t.path}")
 
     def abandon(self) -> KeyTable:
         t = self.t.refresh()
-        t._publish(replace(t.manifest, log=None))
+        if t.manifest.log == self.log:
+            t._publish(replace(t.manifest, log=None, entries=[]))
+        t.store.unmark(t._open)
+        t._open = []
         t.store.delete(self.log)
         return t
 

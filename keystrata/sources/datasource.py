@@ -1,4 +1,7 @@
-"""Clustered tables for spark.read.format("keystrata") and SQL: filters on the key skip files before they are opened."""
+"""Clustered tables for spark.read.format("keystrata") and SQL: filters on the key skip files before they are opened, and row groups.
+
+The option scanPruning=false reads everything.
+"""
 
 from __future__ import annotations
 
@@ -13,11 +16,16 @@ from pyspark.sql.types import StructType
 
 from keystrata.sources.manifest import Manifest
 from keystrata.sources.predicates import bounds
+from keystrata.sources.table import pruned
+
+
+def _root(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
 def _latest(path: str) -> Manifest:
-    fs, root = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path.removeprefix("file:"))
-    names = sorted(f.base_name for f in fs.get_file_info(pa.fs.FileSelector(f"{root}/_manifest")) if f.base_name.startswith("v"))
+    fs, root = _root(path)
+    names = sorted(f.base_name for f in fs.get_file_info(pa.fs.FileSelector(f"{root}/_manifest")) if f.base_name.startswith("v") and f.size > 0)
     with fs.open_input_stream(f"{root}/_manifest/{names[-1]}") as f:
         return Manifest.loads(f.read().decode())
 
@@ -29,8 +37,8 @@ class Part(InputPartition):
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.names = path, schema.names
+    def __init__(self, path: str, schema: StructType, pruning: bool = True):
+        self.path, self.names, self.pruning = path, schema.names, pruning
         self.m = _latest(path)
         self.where: list[tuple[str, str, object]] = []
 
@@ -44,28 +52,34 @@ class Reader(DataSourceReader):
             yield f  # Spark evaluates them too
 
     def partitions(self) -> list[Part]:
-        by = {c.physical: c.name for c in self.m.columns}
-        tracked = [(i, by[k]) for i, (k, _) in enumerate(self.m.key[:2]) if k in by]
-        ranges = bounds(self.where).columns
-
-        def kept(f) -> bool:
-            try:
-                return not self.m.valid or all(ranges[n].meets(*f.span(i)) for i, n in tracked if n in ranges)
-            except TypeError:
-                return True
-
-        return [Part(f.path) for f in self.m.files if kept(f)]
+        return [Part(f.path) for f in (pruned(self.m, self.where) if self.m.valid and self.pruning else self.m.files)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(self.path) if "://" in self.path else (pa.fs.LocalFileSystem(), self.path.removeprefix("file:"))
+        fs, root = _root(self.path)
         present = {c.name: c for c in self.m.columns}
         with fs.open_input_file(f"{root}/{part.path}") as f:
             file = pq.ParquetFile(f)
             there = set(file.schema_arrow.names)
-            for batch in file.iter_batches(columns=[c.physical for c in self.m.columns if c.physical in there]):
+            groups = self._groups(file.metadata)
+            for batch in file.iter_batches(row_groups=groups, columns=[present[n].physical for n in self.names if present[n].physical in there]):
                 cols = [batch[present[n].physical] if present[n].physical in there else pa.nulls(len(batch)) for n in self.names]
                 yield pa.RecordBatch.from_arrays(cols, self.names)
 
+    def _groups(self, meta: pq.FileMetaData) -> list[int]:
+        """The row groups that can have rows for the filters, by the statistics in the footer."""
+        at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+        plain = {c.name: at[c.physical] for c in self.m.columns if c.physical in at and c.type in ("tinyint", "smallint", "int", "bigint", "string", "date")}
+        ranges = {n: b for n, b in bounds([w for w in self.where if w[0] in plain]).columns.items()} if self.pruning else {}
+        out = []
+        for g in range(meta.num_row_groups):
+            stats = {n: meta.row_group(g).column(plain[n]).statistics for n in ranges}
+            try:
+                if all(s is None or not s.has_min_max or ranges[n].meets(s.min, s.max) for n, s in stats.items()):
+                    out.append(g)
+            except TypeError:
+                out.append(g)
+        return out
+
 
 class Source(DataSource):
     @classmethod
@@ -76,7 +90,7 @@ class Source(DataSource):
         return ", ".join(f"`{c.name}` {c.type}" for c in _latest(self.options["path"]).columns)
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options["path"], schema)
+        return Reader(self.options["path"], schema, self.options.get("scanPruning", "true").lower() == "true")
 
 
 def register(spark: SparkSession) -> None:

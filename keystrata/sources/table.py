@@ -5,26 +5,101 @@ State of the ranges, per version:
   sorted  the files are in order of the key
   prefix  so many of the first files are
 A new or truncated table has none of these; compact, merge, rebuild and vacuum set them by what they find; appends take
-sorted away; updates also shorten the prefix to the first file they touch; lazy updates take away all three; deletes and
-changes of columns keep them.
+sorted away; updates and upserts also shorten the prefix to the first file they touch; lazy updates take away all three;
+deletes and changes of columns keep what the files still bear out.
+
+Changes rewrite the files that hold rows they change, and no others: each stretch of neighbouring files is rewritten in its
+own place. Rows that upsert() adds come after the others, as a run of their own.
 """
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
+import time
 import uuid
-from collections.abc import Iterable
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from itertools import accumulate
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.types import StructField, StructType
 
 from keystrata import config
-from keystrata.sources.manifest import Column, File, Manifest, Store, encode
+from keystrata.sources.manifest import Column, Conflict, File, Manifest, Store, encode
 from keystrata.sources.predicates import Predicate, bounds, condition
 
 Key = str | tuple[str, bool]
+DAY = dt.timedelta(days=1)
+
+
+def _micros(v: dt.datetime) -> int:
+    """The instant that Spark takes a datetime for: without a time zone it is a local time of this process."""
+    seconds = calendar.timegm(v.utctimetuple()) if v.tzinfo else int(time.mktime(v.timetuple()))
+    return seconds * 1_000_000 + v.microsecond
+
+
+def _comparable(where: Predicate, kinds: dict[str, str]) -> Predicate:
+    """The part of a predicate that can be compared with ranges, in their terms, or a weaker one: kinds are the columns' types."""
+    out = []
+    for name, op, value in where:
+        kind = kinds.get(name)
+        many = list(value) if op in ("between", "in") else [value]
+        if any(isinstance(v, float) and not abs(v) < 2**53 for v in many):
+            continue  # Spark compares such numbers as doubles
+        if kind in ("timestamp", "timestamp_ntz") and any(v is not None for v in many):
+            if not all(v is None or isinstance(v, dt.datetime) for v in many):
+                continue
+            if kind == "timestamp":
+                many = [None if v is None else _micros(v) for v in many]
+            else:  # the filter compares wall-clock times in the session's zone with this process's: no further apart than a day
+                known = [v.replace(tzinfo=None) for v in many if v is not None]
+                if op in ("=", "in"):
+                    out.append((name, "between", (min(known) - DAY, max(known) + DAY)))
+                elif op == "between" and None not in many:
+                    out.append((name, op, (known[0] - DAY, known[1] + DAY)))
+                elif op != "between":
+                    out.append((name, op, known[0] + (DAY if op[0] == "<" else -DAY)))
+                continue
+            value = many if op in ("between", "in") else many[0]
+        out.append((name, op, value))
+    return out
+
+
+def pruned(m: Manifest, where: Predicate) -> list[File]:
+    """The files of a version that can have rows for which where holds, by its ranges."""
+    by = {c.physical: c for c in m.columns}
+    keys = [(i, by[k]) for i, (k, _) in enumerate(m.key[:2]) if k in by]
+    ranges = bounds(_comparable(where, {c.name: c.type for _, c in keys})).columns
+    if any(p[1] != "in" and (p[2] is None or p[1] == "between" and None in p[2]) for p in where):
+        return []  # a comparison with null
+    try:
+        if any(b.empty() for b in ranges.values()):
+            return []
+    except TypeError:
+        return m.files
+    tracked = [(i, ranges[c.name]) for i, c in keys if c.name in ranges]
+    out = []
+    for f in m.files:
+        try:
+            if all(b.meets(*f.span(i)) for i, b in tracked):
+                out.append(f)
+        except TypeError:  # a literal of another type: the filter decides
+            out.append(f)
+    return out
+
+
+def _file() -> SparkColumn:
+    """The path below the table's folder of the file that a row is read from."""
+    return F.concat(F.lit("data/"), F.url_decode(F.substring_index(F.col("_metadata.file_path"), "/data/", -1)))
 
 
 class ScanStats:
@@ -49,8 +124,10 @@ class KeyTable:
         self.spark, self.path = spark, path.rstrip("/")
         self.store = Store(spark, path)
         self.manifest = self.store.load(version)
+        self._open: list[str] = []  # folders that this writer has filled and not published
+        self._logged: list[str] = []  # entries of the change log, likewise
 
-    # --- making and reading -------------------------------------------------------------------------------------------
+    # making and reading
 
     @staticmethod
     def create(spark: SparkSession, path: str, schema: StructType, key: list[Key], primary: bool = False) -> "KeyTable":
@@ -77,6 +154,7 @@ class KeyTable:
 
     def refresh(self) -> "KeyTable":
         self.manifest = self.store.load()
+        self._logged = []
         return self
 
     @property
@@ -105,18 +183,35 @@ class KeyTable:
         m = self.manifest
         if not m.valid or not config.flag(self.spark, "scanPruning") or not m.key:
             return m.files
-        ranges = bounds(where)
-        if any(b.empty() for b in ranges.columns.values()):
-            return []
-        tracked = [(i, ranges.columns[name]) for i, name in enumerate(self._names()[:2]) if name in ranges.columns]
-        out = []
-        for f in m.files:
-            try:
-                if all(b.meets(*f.span(i)) for i, b in tracked):
-                    out.append(f)
-            except TypeError:  # a literal of another type: the filter decides
-                out.append(f)
-        return out
+        return pruned(m, where)
+
+    def holding(self, keys: DataFrame) -> list[File]:
+        """The files whose range of the first key column has any of keys' only column in it: each task looks its keys up and reports files."""
+        m = self.manifest
+        if not m.valid or not config.flag(self.spark, "scanPruning"):
+            return m.files
+        unknown = [i for i, f in enumerate(m.files) if None in f.span(0)]
+        known = sorted((*f.span(0), i) for i, f in enumerate(m.files) if None not in f.span(0))
+        held = self.spark.sparkContext.broadcast(([x[0] for x in known], [x[1] for x in known], list(accumulate((x[1] for x in known), max)), [x[2] for x in known]))
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            least, most, upto, number = held.value
+            found: set[int] = set()
+            for batch in batches:
+                for k in batch["k"].to_pylist():
+                    for i in range(bisect_left(upto, k), bisect_right(least, k)):
+                        if most[i] >= k:
+                            found.add(number[i])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["i"])
+
+        k = F.col(f"`{keys.columns[0]}`").cast(self._kind(0))
+        named = keys.select((F.unix_micros(k) if self._kind(0) == "timestamp" else k).alias("k")).filter("k IS NOT NULL")
+        hit = {x["i"] for x in named.mapInArrow(find, "i int").distinct().collect()} if known else set()  # numbers of files
+        return [m.files[i] for i in sorted(hit | set(unknown))]
+
+    def _kind(self, i: int) -> str:
+        """The type of a key column."""
+        return next(c.type for c in self.manifest.columns if c.physical == self.manifest.key[i][0])
 
     def scan(self, where: Predicate | None = None) -> DataFrame:
         """The rows for which where holds."""
@@ -129,12 +224,12 @@ class KeyTable:
     def lookup(self, keys: DataFrame, column: str | None = None) -> DataFrame:
         """The rows whose first key column is among keys' only column; files are skipped by the keys that come."""
         name = column or self._names()[0]
-        found = keys.select(F.col(keys.columns[0]).alias("k")).filter("k IS NOT NULL").distinct()
-        few = found.limit(10_001).collect()
-        if len(few) <= 10_000:
-            return self.scan([(name, "in", [x["k"] for x in few])])
-        low, high = found.agg(F.min("k"), F.max("k")).first()
-        return self.scan([(name, "between", (low, high))]).join(found, F.col(f"`{name}`") == F.col("k"), "left_semi")
+        found = keys.select(F.col(f"`{keys.columns[0]}`").alias("__k")).filter("__k IS NOT NULL")
+        files = self.holding(found) if name == self._names()[0] else self.manifest.files
+        STATS.scans += 1
+        STATS.scanned += len(files)
+        STATS.pruned += len(self.manifest.files) - len(files)
+        return self._logical(self._read(files)).join(found, F.col(f"`{name}`") == F.col("__k"), "left_semi")
 
     def explain_scan(self, where: Predicate) -> DataFrame:
         """(files_total, files_scanned, files_pruned, n_ranges): n_ranges counts the stretches of consecutive files."""
@@ -144,7 +239,7 @@ class KeyTable:
         n = len(self.manifest.files)
         return self.spark.createDataFrame([(n, len(at), n - len(at), ranges)], "files_total long, files_scanned long, files_pruned long, n_ranges long")
 
-    # --- writing files ------------------------------------------------------------------------------------------------
+    # writing files
 
     def _order(self) -> list[Any]:
         return [F.col(f"`{k}`").asc_nulls_last() if asc else F.col(f"`{k}`").desc_nulls_first() for k, asc in self.manifest.key]
@@ -155,34 +250,86 @@ class KeyTable:
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return df.repartitionByRange(n, *self._order()).sortWithinPartitions(*self._order())
 
+    def _folder(self) -> str:
+        """A new folder for data files, marked as being filled until this writer publishes."""
+        folder = uuid.uuid4().hex
+        self.store.mark(folder)
+        self._open.append(folder)
+        return f"data/{folder}"
+
     def _write(self, df: DataFrame) -> list[File]:
         """df, under physical names, as new files with their ranges, in order of their first keys."""
-        folder = f"data/{uuid.uuid4().hex}"
+        folder = self._folder()
         df.write.parquet(f"{self.path}/{folder}")
         return self.ranges([folder])
 
-    def ranges(self, folders: list[str]) -> list[File]:
-        """Rows and key ranges of the files there, one row for each on the driver."""
-        keys = [k for k, _ in self.manifest.key[:2]]
-        schema = StructType([StructField(c.physical, f.dataType) for c, f in zip(self.manifest.columns, self.schema.fields)])
-        aggs = [F.count("*").alias("n")]
-        for i, k in enumerate(keys):
-            aggs += [F.min(f"`{k}`").alias(f"lo{i}"), F.max(f"`{k}`").alias(f"hi{i}")]
-        rows = self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders)).groupBy(F.col("_metadata.file_path").alias("p")).agg(*aggs).collect()
-        found = []
-        for r in rows:
-            name = "/".join(r["p"].rsplit("/", 3)[1:])
-            found.append(File(name, r["n"], [[r[f"lo{i}"], r[f"hi{i}"]] if encode(r[f"lo{i}"]) is not None else [None, None] for i in range(len(keys))]))
+    def _placed(self, found: list[File]) -> list[File]:
+        """Files in order of their first keys; those that have none last."""
         asc = not self.manifest.key or self.manifest.key[0][1]
         known = sorted((f for f in found if None not in f.span(0)), key=lambda f: (*f.span(0), f.path) if asc else f.path)
         if not asc:
             known.sort(key=lambda f: f.span(0)[::-1], reverse=True)
         return known + sorted((f for f in found if None in f.span(0)), key=lambda f: f.path)
 
+    def _footers(self, folders: list[str]) -> list[File] | None:
+        """Rows and key ranges from the footers of local files; None where they don't tell."""
+        if self.store.fs.getScheme() != "file":
+            return None
+        kinds = {c.physical: c.type for c in self.manifest.columns}
+        keys = [k for k, _ in self.manifest.key[:2]]
+        if any(kinds[k] not in ("tinyint", "smallint", "int", "bigint", "string", "date", "timestamp_ntz") for k in keys):
+            return None
+        plain = self.store._path.getPathWithoutSchemeAndAuthority
+        names = []
+        for folder in folders:
+            files = self.store.fs.listFiles(self.store._path(f"{self.path}/{folder}"), True)
+            while files.hasNext():
+                name = plain(files.next().getPath()).toString()
+                if name.endswith(".parquet"):
+                    names.append(name)
+
+        def one(name: str) -> File | None:
+            meta = pq.read_metadata(name)
+            at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+            ranges = []
+            for k in keys:
+                stats = [meta.row_group(g).column(at[k]).statistics for g in range(meta.num_row_groups)]
+                if any(s is None or not s.has_min_max and s.num_values for s in stats):
+                    return None
+                some = [s for s in stats if s.has_min_max]
+                ranges.append([min(s.min for s in some), max(s.max for s in some)] if some else [None, None])
+            return File("data/" + name.rsplit("/data/", 1)[1], meta.num_rows, ranges)
+
+        with ThreadPoolExecutor(16) as pool:
+            found = list(pool.map(one, names))
+        return None if None in found else [f for f in found if f.rows]
+
+    def ranges(self, folders: list[str]) -> list[File]:
+        """Rows and key ranges of the files there, from their footers or else from their key columns; one row for each on the driver."""
+        found = self._footers(folders)
+        if found is not None:
+            return self._placed(found)
+        keys = [k for k, _ in self.manifest.key[:2]]
+        kinds = {c.physical: c.type for c in self.manifest.columns}
+        schema = StructType([StructField(c.physical, f.dataType) for c, f in zip(self.manifest.columns, self.schema.fields)])
+        aggs = [F.count("*").alias("n")]
+        for i, k in enumerate(keys):
+            c = F.unix_micros(F.col(f"`{k}`")) if kinds[k] == "timestamp" else F.col(f"`{k}`")
+            aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{f}" for f in folders)).groupBy(_file().alias("p")).agg(*aggs).collect()
+        return self._placed([File(r["p"], r["n"], [[r[f"lo{i}"], r[f"hi{i}"]] if encode(r[f"lo{i}"]) is not None else [None, None] for i in range(len(keys))]) for r in rows])
+
     def _publish(self, m: Manifest) -> "KeyTable":
-        self.manifest = self.store.publish(replace(m, version=self.manifest.version + 1))
+        logged, self._logged = self._logged, []
+        self.manifest = self.store.publish(replace(m, version=self.manifest.version + 1, entries=[*m.entries, *logged] if m.log else []))
+        self.store.unmark(self._open)
+        self._open = []
         return self
 
+    def _undisturbed(self) -> None:
+        if self.manifest.log:
+            raise Conflict(f"{self.path} is being maintained; its files can't change their columns or key meanwhile")
+
     def _unique(self, df: DataFrame, also: DataFrame | None = None) -> None:
         if not self.manifest.primary:
             return
@@ -192,104 +339,186 @@ class KeyTable:
         if bad:
             raise ValueError(f"the key ({', '.join(keys)}) is null or stands twice: {bad[0].asDict()}")
 
-    # --- changing rows ------------------------------------------------------------------------------------------------
+    # changing rows
 
     def _capture(self, action: str, df: DataFrame) -> None:
-        """Rows, under physical names, to the change log, if one is kept."""
+        """Rows, under physical names, to the change log, if one is kept; they count once a manifest names the entry."""
         if self.manifest.log:
-            df.withColumns({"__action": F.lit(action), "__seq": F.lit(self.manifest.version)}).write.parquet(f"{self.path}/{self.manifest.log}/{self.manifest.version:012d}-{action}-{uuid.uuid4().hex}")
-
-    def _overlapping(self, df: DataFrame) -> list[File]:
-        """Files whose range of the first key column meets that of df."""
-        k = self._names()[0]
-        low, high = df.agg(F.min(k), F.max(k)).first()
-        return self.candidates([(k, "between", (low, high))]) if low is not None else []
+            name = f"{self.manifest.version:012d}-{len(self._logged)}-{action}-{uuid.uuid4().hex}"
+            df.withColumns({"__action": F.lit(action), "__seq": F.lit(self.manifest.version)}).write.parquet(f"{self.path}/{self.manifest.log}/{name}")
+            self._logged.append(name)
 
     def append(self, df: DataFrame, files: int | None = None) -> "KeyTable":
         """df's rows, sorted among themselves, after the others."""
         m = self.manifest
         if m.primary:
             keys = self._names()
-            self._unique(df, self._logical(self._read(self._overlapping(df))).join(df.select(*keys), keys, "left_semi"))
+            self._unique(df, self._logical(self._read(self.holding(df.select(f"`{keys[0]}`")))).join(df.select(*keys), keys, "left_semi"))
         rows = self._physical(df)
         found = self._write(self._clustered(rows, files))
         self._capture("I", self._read(found))
         return self._publish(replace(m, files=m.files + found, sorted=m.sorted and not m.files or False))
 
-    def _replace(self, old: list[File], new: DataFrame) -> list[File]:
-        """The table's files with old ones rewritten as new, where the first of them was."""
+    def _with_file(self, files: list[File]) -> DataFrame:
+        """Rows of files by their columns' names, and the file as __file."""
+        rows = self._read(files)
+        return rows.select(*(F.col(f"`{c.physical}`").alias(c.name) for c in self.manifest.columns), _file().alias("__file")) if files else self._logical(rows).withColumn("__file", F.lit(""))
+
+    def _hit(self, files: list[File], some: Callable[[DataFrame], DataFrame]) -> list[File]:
+        """Those files that have any of the rows that some leaves: a name for each comes to the driver."""
+        if not files:
+            return []
+        names = {r["__file"] for r in some(self._with_file(files)).select("__file").distinct().collect()}
+        return [f for f in files if f.path in names]
+
+    def _owned(self, rows: DataFrame) -> DataFrame:
+        """rows with __file, the file that each can join without overlapping another, if none do: the last that begins no later, or the first."""
+        known = sorted((f.span(0)[0], f.path) for f in self.manifest.files)
+        held = self.spark.sparkContext.broadcast(([x[0] for x in known], [x[1] for x in known]))
+
+        def owner(k: pa.Array) -> pa.Array:
+            least, path = held.value
+            return pa.array([path[0 if x is None else max(0, bisect_right(least, x) - 1)] for x in k.to_pylist()], pa.string())
+
+        k = F.col(f"`{self._names()[0]}`").cast(self._kind(0))
+        return rows.withColumn("__file", F.arrow_udf(owner, "string")(F.unix_micros(k) if self._kind(0) == "timestamp" else k))
+
+    def _rewritten(self, old: list[File], change: Callable[[DataFrame], DataFrame], added: DataFrame | None = None) -> list[File]:
+        """The table's files with old ones replaced by what change makes of their rows: each stretch of neighbours in its place. added: rows to put beside those of their __file."""
         m = self.manifest
         gone = {f.path for f in old}
         if not gone:
             return m.files
-        made = self._write(self._clustered(new, len(gone)))
-        at = next(i for i, f in enumerate(m.files) if f.path in gone)
-        out = [f for f in m.files[:at]] + made + [f for f in m.files[at:] if f.path not in gone]
-        if m.sorted:  # still in order when each is put in its place
-            head, tail = [f for f in out if None not in f.span(0)], [f for f in out if None in f.span(0)]
-            head.sort(key=lambda f: f.span(0), reverse=bool(m.key) and not m.key[0][1])
-            out = head + tail
+        stretch: dict[str, int] = {}
+        for i, f in enumerate(m.files):
+            if f.path in gone:
+                before = m.files[i - 1].path if i else None
+                stretch[f.path] = stretch[before] if before in stretch else len(set(stretch.values()))
+        places = self.spark.createDataFrame(list(stretch.items()), "__file string, __stretch int")
+        rows = change(self._with_file(old).join(places, "__file").drop("__file"))
+        if added is not None:
+            rows = rows.unionByName(added.join(places, "__file").drop("__file"))
+        rows = rows.select(*(F.col(f"`{c.name}`").cast(c.type).alias(c.physical) for c in m.columns), "__stretch")
+        order = [F.col("__stretch"), *self._order()]
+        folder = self._folder()
+        rows.repartitionByRange(len(gone), *order).sortWithinPartitions(*order).write.partitionBy("__stretch").parquet(f"{self.path}/{folder}")
+        made: dict[int, list[File]] = {}
+        for f in self.ranges([folder]):
+            made.setdefault(int(f.path.split("/__stretch=")[1].split("/")[0]), []).append(f)
+        out: list[File] = []
+        done: set[int] = set()
+        for f in m.files:
+            n = stretch.get(f.path)
+            if n is None:
+                out.append(f)
+            elif n not in done:
+                done.add(n)
+                out += made.get(n, [])
         return out
 
+    def _touched(self, old: list[File]) -> int:
+        """Place of the first of these files."""
+        gone = {f.path for f in old}
+        return next((i for i, f in enumerate(self.manifest.files) if f.path in gone), len(self.manifest.files))
+
     def update(self, changes: dict[str, Any], where: Predicate | None = None, lazy: bool | None = None) -> "KeyTable":
         """Sets columns, to values or Columns, where the predicate holds."""
         m, where = self.manifest, where or []
         lazy = config.flag(self.spark, "lazyUpdate") if lazy is None else lazy
-        old = self.candidates(where)
-        rows = self._logical(self._read(old))
         hit = F.coalesce(condition(where), F.lit(False))
+        old = self._hit(self.candidates(where), lambda rows: rows.filter(hit))
+        if not old:
+            return self
         types = {c.name: c.type for c in m.columns}
-        new = rows.select(*(F.when(hit, (v if hasattr(v := changes[c], "_jc") else F.lit(v)).cast(types[c])).otherwise(F.col(f"`{c}`")).alias(c) if c in changes else F.col(f"`{c}`") for c in rows.columns))
+        value = {c: (v if hasattr(v, "_jc") else F.lit(v)).cast(types[c]) for c, v in changes.items()}
+
+        def changed(rows: DataFrame) -> DataFrame:
+            return rows.select(*(F.when(hit, value[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changes else F.col(f"`{c}`") for c in rows.columns))
+
         moves = any(k in changes for k in self._names())
+        rows = self._logical(self._read(old))
         if moves and m.primary:
             rest = [f for f in m.files if f.path not in {o.path for o in old}]
-            self._unique(new, self._logical(self._read(rest)))
+            self._unique(changed(rows), self._logical(self._read(rest)))
         if m.log:
             if moves:
                 self._capture("D", self._physical(rows.filter(hit)))
-            changed = rows.filter(hit).select(*((changes[c] if hasattr(changes[c], "_jc") else F.lit(changes[c])).cast(types[c]).alias(c) if c in changes else F.col(f"`{c}`") for c in rows.columns))
-            self._capture("I" if moves else "U", self._physical(changed))
-        files = self._replace(old, self._physical(new))
+            self._capture("I" if moves else "U", self._physical(rows.filter(hit).select(*(value[c].alias(c) if c in changes else F.col(f"`{c}`") for c in rows.columns))))
+        now = m.still(self._rewritten(old, changed))
         if lazy and m.valid:
-            return self._publish(replace(m, files=files, valid=False, sorted=False, prefix=0))
-        gone = {f.path for f in old}
-        first = next((i for i, f in enumerate(m.files) if f.path in gone), m.prefix)
-        return self._publish(replace(m, files=files, sorted=m.sorted and not old, prefix=min(m.prefix, first)))
+            return self._publish(replace(now, valid=False, sorted=False, prefix=0))
+        return self._publish(replace(now, sorted=False, prefix=min(now.prefix, self._touched(old))))
 
     def delete(self, where: Predicate | None = None) -> "KeyTable":
         m, where = self.manifest, where or []
-        old = self.candidates(where)
-        rows = self._logical(self._read(old))
         hit = F.coalesce(condition(where), F.lit(False))
-        self._capture("D", self._physical(rows.filter(hit)))
-        files = self._replace(old, self._physical(rows.filter(~hit)))
-        return self._publish(replace(m, files=files, prefix=min(m.prefix, len(files))))
+        old = self._hit(self.candidates(where), lambda rows: rows.filter(hit))
+        if not old:
+            return self
+        if m.log:
+            self._capture("D", self._physical(self._logical(self._read(old)).filter(hit)))
+        return self._publish(m.still(self._rewritten(old, lambda rows: rows.filter(~hit))))
 
     def upsert(self, df: DataFrame) -> "KeyTable":
-        """df's rows in place of those with their keys; of several rows of df with one key, which of them is open."""
+        """df's rows in place of those with their keys, or after the others; of several rows of df with one key the greatest."""
+        return self.apply(df)
+
+    def apply(self, df: DataFrame, gone: DataFrame | None = None) -> "KeyTable":
+        """One version with df's rows upserted and those with gone's keys deleted; a key that is in both is upserted."""
         m = self.manifest
         if not m.primary:
             raise ValueError("upsert needs a table with a primary key")
-        keys = self._names()
-        df = df.select(*self.schema.names).dropDuplicates(keys)
-        self._unique(df)
-        old = self._overlapping(df)
-        rest = self._logical(self._read(old)).join(df.select(*keys), keys, "left_anti").select(*self.schema.names)
-        self._capture("U", self._physical(df))
-        if not old:
-            made = self._write(self._clustered(self._physical(df)))
-            return self._publish(replace(m, files=m.files + made, sorted=False))
-        files = self._replace(old, self._physical(rest.union(df)))
-        gone = {f.path for f in old}
-        first = next(i for i, f in enumerate(m.files) if f.path in gone)
-        return self._publish(replace(m, files=files, sorted=False, prefix=min(m.prefix, first)))
+        keys, names = self._names(), self.schema.names
+        rest = [c for c in names if c not in keys]
+        types = {f.name: f.dataType for f in self.schema.fields}
+        df = df.select(*(F.col(f"`{c}`").cast(types[c]).alias(c) for c in names))
+        try:
+            df = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__last")).select(*keys, "__last.*").select(*names) if rest else df.distinct()
+        except AnalysisException:  # values without an order
+            df = df.dropDuplicates(keys)
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        try:
+            # the rows are read several times; where they come from needn't give the same twice
+            df.withColumn("__gone", F.lit(False)).write.parquet(staged)
+            if gone is not None:
+                dead = gone.select(*(F.col(f"`{c}`").cast(types[c]).alias(c) for c in keys)).distinct()
+                dead.select(*keys, *(F.lit(None).cast(types[c]).alias(c) for c in rest), F.lit(True).alias("__gone")).write.mode("append").parquet(staged)
+            every = self.spark.read.schema(df.withColumn("__gone", F.lit(False)).schema).parquet(staged)
+            df = every.filter("NOT __gone").drop("__gone")
+            self._unique(df)
+            if gone is not None:
+                dead = every.filter("__gone").select(*keys).join(df.select(*keys), keys, "left_anti")
+            touched = every.select(*keys).distinct()
+            old = self._hit(self.holding(every.select(f"`{keys[0]}`")), lambda rows: rows.join(touched, keys, "left_semi"))
+            if gone is not None and m.log:
+                self._capture("D", self._physical(self._logical(self._read(old)).join(dead, keys, "left_semi").select(*names)))
+            if m.log:
+                self._capture("U", self._physical(df))
+            added = df
+            if old:
+                added = df.join(self._logical(self._read(old)).select(*keys), keys, "left_anti").select(*names)
+            added = self._physical(added)
+            made = self._write(self._clustered(added))
+
+            def changed(rows: DataFrame) -> DataFrame:
+                stay = rows.join(touched, keys, "left_anti").select(*names, "__stretch")
+                return stay.union(df.join(rows.select(*keys, "__stretch"), keys).select(*names, "__stretch"))
+
+            if not old and not made:
+                self.store.unmark(self._open)
+                self._open = []
+                return self
+            now = m.still(self._rewritten(old, changed))
+            return self._publish(replace(now, files=now.files + made, sorted=False, prefix=min(now.prefix, self._touched(old))))
+        finally:
+            self.store.delete(staged.removeprefix(f"{self.path}/"))
 
     def truncate(self) -> "KeyTable":
         if self.manifest.log:
             self._capture("D", self._read(self.manifest.files))
         return self._publish(replace(self.manifest, files=[], valid=False, sorted=False, prefix=0))
 
-    # --- changing columns ---------------------------------------------------------------------------------------------
+    # changing columns
 
     def add_column(self, name: str, type: str) -> "KeyTable":
         """A column that is null in the rows so far."""
@@ -311,6 +540,7 @@ class KeyTable:
 
     def alter_type(self, name: str, type: str) -> "KeyTable":
         """All rows rewritten with the column cast; their order has to be found again."""
+        self._undisturbed()
         old = self._column(name)
         rows = self._logical(self._read(self.manifest.files)).withColumn(name, F.col(f"`{name}`").cast(type))
         columns = [replace(c, type=type, physical=f"{c.name}_{uuid.uuid4().hex[:8]}") if c.name == name else c for c in self.manifest.columns]
@@ -322,10 +552,12 @@ class KeyTable:
         return self._publish(replace(self.manifest, files=found, valid=False, sorted=False, prefix=0))
 
     def drop_key(self) -> "KeyTable":
+        self._undisturbed()
         return self._publish(replace(self.manifest, key=[], primary=False, valid=False, sorted=False, prefix=0))
 
     def set_key(self, key: list[Key], primary: bool = False) -> "KeyTable":
         """A key for a table without one; compact() then clusters the rows by it."""
+        self._undisturbed()
         by = {c.name: c.physical for c in self.manifest.columns}
         pairs = [(k, True) if isinstance(k, str) else k for k in key]
         was = self.manifest
@@ -343,7 +575,7 @@ class KeyTable:
                 return c
         raise ValueError(f"there is no column {name}")
 
-    # --- looking at the table -----------------------------------------------------------------------------------------
+    # looking at the table
 
     def zones(self) -> DataFrame:
         """(ord, path, rows, min1, max1, min2, max2), values as strings, of each file."""
@@ -364,8 +596,8 @@ class KeyTable:
             return self.spark.createDataFrame([(0,)], "inversions long")
         k = f"`{self.manifest.key[0][0]}`"
         asc = self.manifest.key[0][1]
-        paths = {f.path.rsplit("/", 1)[1]: i for i, f in enumerate(self.manifest.files)}
-        rows = self._read(self.manifest.files).select(F.col(k).alias("k"), F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
+        paths = {f.path: i for i, f in enumerate(self.manifest.files)}
+        rows = self._read(self.manifest.files).select(F.col(k).alias("k"), _file().alias("f"), F.col("_metadata.row_index").alias("i"))
         inside = rows.withColumn("before", F.lag("k").over(Window.partitionBy("f").orderBy("i")))
         n = F.sum(((F.col("k") < F.col("before")) if asc else (F.col("k") > F.col("before"))).cast("long"))
         each = inside.groupBy("f").agg(F.coalesce(n, F.lit(0)).alias("n"), F.min("k").alias("least"), F.max("k").alias("most"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,7 +34,7 @@ def append(stream: DataFrame, table: str, checkpoint: str, merge_every: int = 0)
 
 
 def replay(stream: DataFrame, table: str, checkpoint: str, action: str = "action", seq: str = "seq") -> StreamingQuery:
-    """One pass over a log of actions I, U and D on whole rows: of each key the last one counts."""
+    """One pass over a log of actions I, U and D on whole rows: of each key the last one counts; a batch is one version."""
 
     def batch(df: DataFrame, n: int) -> None:
         t = KeyTable(df.sparkSession, table)
@@ -44,12 +42,7 @@ def replay(stream: DataFrame, table: str, checkpoint: str, action: str = "action
         last = _last(df, keys, seq)
         rows = last.filter(F.col(action) != "D").select(*t.schema.names)
         gone = last.filter(F.col(action) == "D").select(*keys)
-        if not gone.isEmpty():
-            old = t._overlapping(gone)
-            rest = t._logical(t._read(old)).join(gone, keys, "left_anti").select(*t.schema.names)
-            t._publish(replace(t.manifest, files=t._replace(old, t._physical(rest))))
-        if not rows.isEmpty():
-            t.upsert(rows)
+        t.apply(rows, gone)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
