@@ -1,23 +1,33 @@
-"""Connected components of a graph of integer ids, by alternating large and small stars."""
+"""Connected components of a graph of integer ids, by alternating large and small stars.
+
+The least neighbour of each id is aggregated where the edges lie and joined back, so the edges of an id that most others are
+joined to are spread over as many tasks as its join is split in, and none holds them all.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import cut, discard
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): m is the least v of u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """(u, v, m) both ways round, m the least of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    return _least(both).withColumn("m", F.least("u", "m"))
 
 
 def components(edges: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """(id, least): of each id that has an edge (a, b), the least id of its component. Loops, repeated edges and nulls are ignored. kept gets the path of the result.
 
-    A round is two shuffles by id and one table of at most as many edges; rounds grow as the logarithm of the longest path.
+    A round is two joins by id and one table of at most as many edges; rounds grow as the logarithm of the longest path.
     """
     ids = edges.toDF("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     made: list[str] = []
@@ -26,8 +36,7 @@ def components(edges: DataFrame, kept: list[str] | None = None) -> DataFrame:
     while True:
         large = _star(now).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # every id has one least neighbour below it now, or some: they and the id are joined to the least of them
-        w = Window.partitionBy("u")
-        small = large.withColumn("m", F.min("v").over(w))
+        small = _least(large)
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         before, made = made, []
         now = cut(small.filter("u <> v").distinct(), made)

@@ -12,11 +12,13 @@ connected components of all similar pairs; the least id of a group stands for it
 
 Texts of one signature are linked and count as the least id of them. In each bucket, every text is held against the least id;
 then each is held against every other that these links don't yet join to it. Buckets of over BLOCK texts are cut into blocks,
-and each pair of blocks is a piece of work of its own.
+and each pair of blocks is a piece of work of its own. What is known of a bucket or a signature (its least id, how many texts
+it has) is aggregated where the texts lie and joined back, so no task holds a bucket or the copies of one text.
 
 Words are runs of letters and digits (all bytes beyond ASCII count as letters). A text of one word is that word; null texts
 and texts without words are in no group. Rows without a doc_id are in no group. Rows that share a doc_id are one document:
-they stay or go together, but of rows with the same text too one stays. Other columns aren't read. An empty table gives an empty result.
+they stay or go together, but of rows with the same text too one stays. Other columns aren't read. An empty table gives an
+empty result. Ids that aren't integers are an error.
 """
 
 from __future__ import annotations
@@ -218,23 +220,27 @@ def _rest(k: int, similar: float):
 def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, made: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, lead) of near duplicates, lead < doc_id: their components are those of all similar pairs that share a bucket. made gets the tables that it reads."""
     spark, k = docs.sparkSession, bands * rows
+    common.integers(docs, "doc_id")
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     signed = common.cut(d.mapInArrow(_sign(bands, rows), "doc_id long, sig binary, bands array<long>"), made)
     # texts of one signature, by 128 bits of it
     key = [F.xxhash64("sig", "bands").alias("x"), F.xxhash64("bands", "sig").alias("y")]
-    same = signed.select("doc_id", *key).withColumn("lead", F.min("doc_id").over(Window.partitionBy("x", "y")))
-    same = common.cut(same.filter("doc_id <> lead").select("doc_id", "lead", "x", "y"), made)
+    named = signed.select("doc_id", *key)
+    heads = named.groupBy("x", "y").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("last <> lead")
+    same = common.cut(named.join(heads, ["x", "y"]).filter("doc_id <> lead").select("doc_id", "lead", "x", "y"), made)
     signed = signed.select("*", *key).join(same.select("doc_id", "x", "y").distinct(), ["doc_id", "x", "y"], "left_anti").select("doc_id", "sig", "bands")
     signed = common.cut(signed, made)
     sig = signed.select("doc_id", "sig")
-    w = Window.partitionBy("bucket")
-    held = signed.select(F.explode("bands").alias("bucket"), "doc_id").withColumn("lead", F.min("doc_id").over(w))
-    held = common.cut(held.filter("doc_id <> lead"), made)
+    texts = signed.select(F.explode("bands").alias("bucket"), "doc_id")
+    leads = texts.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("last <> lead").drop("last")
+    held = common.cut(texts.join(leads, "bucket").filter("doc_id <> lead"), made)
     pairs = held.select("doc_id", "lead").distinct().join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("lead"), F.col("sig").alias("other")), "lead")
     good = common.cut(pairs.filter(_agree(k, similar)("sig", "other")).select("doc_id", "lead").distinct(), made)
     known = components(good, made).toDF("doc_id", "least")
     rest = held.select("bucket", "doc_id").distinct().join(known, "doc_id", "left").select("bucket", "doc_id", F.coalesce("least", "doc_id").alias("label"))
-    rest = rest.withColumns({"n": F.count("*").over(w), "low": F.min("label").over(w), "high": F.max("label").over(w)}).filter("low <> high")
+    rest = common.cut(rest, made)
+    mixed = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    rest = rest.join(mixed.select("bucket", "n"), "bucket")
     blocks = F.ceil(F.col("n") / block).cast("long")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rest = rest.select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "doc_id", "label").join(sig, "doc_id")
