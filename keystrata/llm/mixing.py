@@ -12,6 +12,7 @@ The random number is a hash of doc_id, so rows that repeat a doc_id are drawn to
 repeats of its last document. Null doc_ids count as one doc_id, a null source is a source, a null or negative size is that
 of an empty text. Sources that weights doesn't name get none; quotas of sources without rows go to none. Texts aren't read.
 Other columns are kept; none can clash. An empty table gives an empty result.
+Ids that aren't integers are an error.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from keystrata.llm import common
 
 SEED = 6
 CLASSES = 4096
-#: Sources up to which their thresholds are broadcast.
-BROADCAST = 100_000
 
 
 def quotas(sources: DataFrame, total: int, weights: dict[str, float] | None, power: float) -> DataFrame:
@@ -50,15 +49,18 @@ def _size(n_chars: Column) -> Column:
 
 def copies(docs: DataFrame, rate: float = 1.0, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = SEED) -> DataFrame:
     """docs under their columns' numbers, with copies: how often each row is taken. rate: the mixture's rows to those of docs."""
+    common.integers(docs, "doc_id")
     plain, (doc_id, source, n_chars) = common.numbered(docs, "doc_id", "source", "n_chars")
     plain = plain.withColumns({"id": F.col(doc_id).cast("long"), "source": F.col(source).cast("string"), "x": _size(F.col(n_chars))})
     d = plain.select("id", "source", "x")
-    sources = common.cut(d.groupBy("source").agg(F.count("*").alias("n"), F.sum("x").alias("size")))
-    rows = sources.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    quota = common.cut(quotas(sources, round(rate * rows[0]), weights, power).select(F.col("source").alias("of"), "size", "quota"))
+    made: list[str] = []
+    sources = common.cut(d.groupBy("source").agg(F.count("*").alias("n"), F.sum("x").alias("size")), made)
+    rows = sources.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    quota = common.cut(quotas(sources, round(rate * rows), weights, power).select(F.col("source").alias("of"), "size", "quota"))
 
     def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(F.broadcast(right) if rows[1] <= BROADCAST else right, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        # a row for each source: Spark sees the table's size, and broadcasts it if that is small
+        return left.join(right, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
     def drawn(df: DataFrame) -> DataFrame:
         e = joined(df, quota).withColumn("e", F.col("quota").cast("double") * F.col("x") / F.col("size").cast("double"))
@@ -68,14 +70,15 @@ def copies(docs: DataFrame, rate: float = 1.0, weights: dict[str, float] | None
 
     cell = F.floor(F.col("q") / (1 + F.col("q")) * CLASSES)
     e = drawn(d).withColumn("cell", cell)
-    counts = common.cut(e.groupBy("source", "quota", "cell").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")))
+    counts = common.cut(e.groupBy("source", "quota", "cell").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")), made)
     w = Window.partitionBy("source")
     c = counts.withColumn("rest", F.col("quota") - F.sum("whole").over(w)).filter("cell IS NOT NULL").withColumn("upto", F.sum("n").over(w.orderBy("cell")))
     last = c.filter("upto >= rest AND upto - n < rest").select(F.col("source").alias("of"), F.col("cell").alias("last"), (F.col("rest") - F.col("upto") + F.col("n")).alias("need"))
     rank = F.row_number().over(Window.partitionBy("source").orderBy("q", F.col("id").asc_nulls_first()))
     stop = joined(e, last).filter("cell = last").withColumn("rank", rank).filter("rank = need").select(F.col("source").alias("of"), F.col("q").alias("stop_q"), F.col("id").alias("stop_id"))
     stop = common.cut(stop)
-    full = drawn(plain).join(F.broadcast(stop) if rows[1] <= BROADCAST else stop, F.col("source").eqNullSafe(F.col("of")), "left")
+    common.discard(docs.sparkSession, made)
+    full = drawn(plain).join(stop, F.col("source").eqNullSafe(F.col("of")), "left")
     taken = F.coalesce((F.col("q") < F.col("stop_q")) | ((F.col("q") == F.col("stop_q")) & (F.coalesce(F.col("id") <= F.col("stop_id"), F.col("id").isNull()))), F.lit(False))
     return full.withColumn("copies", F.col("whole") + taken.cast("long")).select(*(f"c{i}" for i in range(len(docs.columns))), "copies").filter("copies > 0")
 
