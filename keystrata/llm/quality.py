@@ -12,6 +12,7 @@ Null and empty texts and texts without words have quality 0 and are rejected. Ro
 are judged like any other. Where there are no labelled documents of both kinds, every text with words has quality 0.5 and is
 kept. Labels that are null are not used; of several labels of one document the least counts. Columns other than doc_id and
 text aren't read. An empty table gives an empty result.
+Ids that aren't integers are an error.
 """
 
 from __future__ import annotations
@@ -146,6 +147,8 @@ def judge(c: T.Texts, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The field, from the labelled documents of least hash, at most sample of them."""
+    common.integers(labels, "doc_id")
+    common.integers(docs, "doc_id")
     known = common.narrow(labels, doc_id="doc_id", quality="quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(common.unit(3, "id"), "id").limit(sample)  # so few that they are broadcast
@@ -157,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def document_quality(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, quality, n_lines, n_bad_lines, keep) of each row of docs."""
+    common.integers(docs, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
