@@ -1,7 +1,14 @@
 """From documents to tokens: the stages of a training corpus, each a table that the next one reads.
 
 Each stage's function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and
-rereads it as the next stage's docs. All but the last return the columns of documents; the last adds tokens and n_tokens.
+rereads it as the next stage's docs, and deletes the table before that. All but the last return the columns of documents; the
+last adds tokens and n_tokens.
+
+Null and empty texts, and texts without words, are rejected by the first stage. Rows that repeat both doc_id and text are one
+document, of which one row stays; rows that share a doc_id only are kept or dropped as near duplicates together. Rows without
+a doc_id stay, if their text is good: they are no near duplicate of another and their passages are no copies. Ties go to the
+least doc_id. Further columns of documents are kept and never matter, but tokens and n_tokens, which the last stage replaces.
+Empty tables give empty results; without labels no document is rejected but those without words. Texts are whole, however long.
 """
 
 from __future__ import annotations
@@ -54,8 +61,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        common.discard(spark, before)
+        before = [f"{folder}/{name}"]
     return STAGES[-1][1](spark, docs, sf_dir)
