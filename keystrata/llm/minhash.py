@@ -10,10 +10,11 @@ similarity. A text with a coordinate that no dart hit gets twice the bound until
 Texts that agree in a whole band of coordinates are candidates, and similar if their whole signatures say so. Groups are the
 connected components of all similar pairs; the least id of a group stands for it.
 
-Texts of one signature are linked and count as the least id of them. In each bucket, every text is held against the least id;
-then each is held against every other that these links don't yet join to it. Buckets of over BLOCK texts are cut into blocks,
+Texts of one signature are linked and count as the least id of them. In each bucket, every text of a batch is held against the
+batch's least id there, and these against the least of all; then each text is held against every other that these links don't
+yet join to it. Buckets of over BLOCK texts are cut into blocks,
 and each pair of blocks is a piece of work of its own. What is known of a bucket or a signature (its least id, how many texts
-it has) is aggregated where the texts lie and joined back, so no task holds a bucket or the copies of one text.
+it has) is aggregated where the texts lie, and joined back where it must be, so no task holds a bucket or the copies of a text.
 
 Words are runs of letters and digits (all bytes beyond ASCII count as letters). A text of one word is that word; null texts
 and texts without words are in no group. Rows without a doc_id are in no group. Rows that share a doc_id are one document:
@@ -217,6 +218,22 @@ def _rest(k: int, similar: float):
     return run
 
 
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, doc_id, lead) of each text's buckets, lead being the batch's least id there."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        batch = batch.take(pa.array(np.argsort(batch["doc_id"].to_numpy(), kind="stable")))
+        bucket = batch["bands"].flatten().to_numpy()
+        ids = np.repeat(batch["doc_id"].to_numpy(), len(bucket) // len(batch))
+        order = np.argsort(bucket, kind="stable")
+        bucket, ids = bucket[order], ids[order]
+        new = np.ones(len(bucket), bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        lead = ids[np.maximum.accumulate(np.where(new, np.arange(len(bucket)), 0))]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), pa.array(lead)], ["bucket", "doc_id", "lead"])
+
+
 def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, made: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, lead) of near duplicates, lead < doc_id: their components are those of all similar pairs that share a bucket. made gets the tables that it reads."""
     spark, k = docs.sparkSession, bands * rows
@@ -231,13 +248,16 @@ def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar
     signed = signed.select("*", *key).join(same.select("doc_id", "x", "y").distinct(), ["doc_id", "x", "y"], "left_anti").select("doc_id", "sig", "bands")
     signed = common.cut(signed, made)
     sig = signed.select("doc_id", "sig")
-    texts = signed.select(F.explode("bands").alias("bucket"), "doc_id")
-    leads = texts.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("last <> lead").drop("last")
-    held = common.cut(texts.join(leads, "bucket").filter("doc_id <> lead"), made)
-    pairs = held.select("doc_id", "lead").distinct().join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("lead"), F.col("sig").alias("other")), "lead")
+    local = signed.select("doc_id", "bands").mapInArrow(_local, "bucket long, doc_id long, lead long")
+    followers = local.filter("doc_id <> lead")
+    # one text of a bucket from each batch
+    w = Window.partitionBy("bucket")
+    leads = local.filter("doc_id = lead").select("bucket", "doc_id").withColumns({"lead": F.min("doc_id").over(w), "last": F.max("doc_id").over(w)}).filter("last <> lead").drop("last")
+    held = common.cut(followers.union(leads), made)
+    pairs = held.filter("doc_id <> lead").select("doc_id", "lead").distinct().join(sig, "doc_id").join(sig.select(F.col("doc_id").alias("lead"), F.col("sig").alias("other")), "lead")
     good = common.cut(pairs.filter(_agree(k, similar)("sig", "other")).select("doc_id", "lead").distinct(), made)
     known = components(good, made).toDF("doc_id", "least")
-    rest = held.select("bucket", "doc_id").distinct().join(known, "doc_id", "left").select("bucket", "doc_id", F.coalesce("least", "doc_id").alias("label"))
+    rest = held.select("bucket", "doc_id").union(held.select("bucket", "lead")).distinct().join(known, "doc_id", "left").select("bucket", "doc_id", F.coalesce("least", "doc_id").alias("label"))
     rest = common.cut(rest, made)
     mixed = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     rest = rest.join(mixed.select("bucket", "n"), "bucket")

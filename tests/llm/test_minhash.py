@@ -4,6 +4,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from keystrata.llm import minhash, text as T
 from keystrata.llm.components import components
@@ -144,3 +145,25 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (7, None)], "a long, b long")
     got = {x[0]: x[1] for x in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def test_no_task_holds_the_copies_of_a_text(spark):
+    """One text 10**5 times, and near copies of another in every batch: what meets in a task is bounded by the batches."""
+    one, other = " ".join(f"a{i}" for i in range(40)), [f"b{i}" for i in range(120)]
+    r = random.Random(4)
+    rows = [(100_000 + i, edited(r, " ".join(other), 0.04)) for i in range(600)]
+    df = spark.range(100_000).selectExpr("id AS doc_id", f"'{one}' AS text").union(spark.createDataFrame(rows, "doc_id long, text string")).repartition(16)
+    got = {x[0]: x[1] for x in minhash.near_duplicates(df).collect()}
+    assert sum(k == 0 for k in got.values()) == 99_999 and sum(k == 100_000 for k in got.values()) == 599
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 3, 9]), pa.array([[1, 2], [1, 7], [8, 2]])], ["doc_id", "bands"])
+    assert [tuple(x.values()) for x in next(minhash._local([batch])).to_pylist()] == [(1, 3, 3), (1, 5, 3), (2, 5, 5), (2, 9, 5), (7, 3, 3), (8, 9, 9)]
+
+
+def test_very_long_texts_and_ids(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    df = spark.createDataFrame([(7, long), (3, long + " more"), (5, "x y")], "doc_id int, text string")
+    assert [tuple(x) for x in minhash.near_duplicates(df).collect()] == [(7, 3)]
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    odd = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y")], "doc_id int, text string, TEXT string")
+    assert [tuple(x) for x in minhash.drop_near_duplicates(odd).collect()] == [(1, "a b c", "x")]
