@@ -1,16 +1,19 @@
 """Nearest neighbours on proximity graphs: building flat and hierarchical ones, and searching them.
 
 A flat graph is a table (nid, sketch, neighbors, src_id) with one of entries (entry_nid, centroid); a hierarchy has such a
-table for each level, 0 holding all nodes, and (entry_nid, max_level). Searches hold the graph in every task, its size
-checked, and take a table of queries (query_id, query); a sketch may have fewer dimensions than the query, whose first ones
-then count. Graphs that are too large are built in shards, which are searched apart.
+table for each level, 0 holding all nodes, and (entry_nid, max_level). Searches take a table of queries (query_id, query); a
+sketch may have fewer dimensions than the query, whose first ones then count. A flat search holds the graph in every task,
+its size checked. A hierarchy is built in shards: a task holds one shard, and the queries come to it, so no graph is
+collected; the setting levelCache says how many shards a worker keeps for the next search of the same table.
+
+A node is linked with candidates among its 4 m nearest; a hierarchy has at most 17 levels.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
-from collections import deque
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -128,7 +131,11 @@ def _reranked(found: DataFrame, nodes: DataFrame, queries: DataFrame, vectors: D
     """(query_id, rank, id, distance): by the vectors (id, embedding), if they are given, of the first max(rerank, lim) candidates, or of all."""
     if rerank > 0:
         found = _topk(found, max(rerank, lim)).drop("rank")
-    found = found.join(nodes.select("nid", F.col("src_id").cast("string").alias("id")), "nid")
+    return _final(found.join(nodes.select("nid", F.col("src_id").cast("string").alias("id")), "nid"), queries, vectors, lim)
+
+
+def _final(found: DataFrame, queries: DataFrame, vectors: DataFrame | None, lim: int) -> DataFrame:
+    """The first lim of each query's (query_id, nid, distance, id), by the vectors if they are given."""
     if vectors is not None:
         v = vectors.select(F.col("id").cast("string").alias("vid"), "embedding")
         found = found.join(v, F.col("id") == F.col("vid"), "left").join(queries.select(F.col("query_id").cast("long"), F.col("query").alias("q")), "query_id")
@@ -168,11 +175,15 @@ def graph_scan(nodes: DataFrame, queries: DataFrame, entries: DataFrame | None =
 def diverse(order: np.ndarray, near: np.ndarray, among: np.ndarray, m: int) -> list[int]:
     """Of candidates in order of nearness, m that are nearer to the node than to those taken before; then the nearest of the rest."""
     taken: list[int] = []
-    for j in order.tolist():
-        if len(taken) == m:
-            return taken
-        if all(among[j, t] < near[j] for t in taken):
-            taken.append(j)
+    free = np.ones(len(order), bool)
+    nearest = near[order]
+    while len(taken) < m:
+        at = int(free.argmax()) if len(free) else 0
+        if not len(free) or not free[at]:
+            break
+        taken.append(int(order[at]))
+        free &= among[order, taken[-1]] < nearest
+        free[at] = False
     return taken + [j for j in order.tolist() if j not in taken][: m - len(taken)]
 
 
@@ -251,6 +262,10 @@ def build_flat(rows: DataFrame, m: int = 16, adjacent: int = 2, diversify: bool
     return nodes, entries
 
 
+#: Rows up to which a new node's distances to all before it are taken at once.
+ROWS = 20_000
+
+
 def insert_all(v: np.ndarray, m: int = 16, ef: int = 200, seed: int = 42) -> tuple[int, list[dict[int, list[int]]]]:
     """(entry, adjacency of each level) of a hierarchical graph over the rows, inserted one by one."""
     u = _unit(v)
@@ -259,9 +274,9 @@ def insert_all(v: np.ndarray, m: int = 16, ef: int = 200, seed: int = 42) -> tup
     levels: list[dict[int, list[int]]] = []
     entry = -1
 
-    def walk(level: dict[int, list[int]], q: np.ndarray, starts: list[int], width: int) -> list[tuple[float, int]]:
+    def walk(level: dict[int, list[int]], far, starts: list[int], width: int) -> list[tuple[float, int]]:
         seen = set(starts)
-        todo = sorted(zip((1 - u[starts] @ q).tolist(), starts))
+        todo = sorted(zip(far(starts), starts))
         best = [(-d, i) for d, i in todo]
         heapq.heapify(best)
         while todo:
@@ -272,7 +287,7 @@ def insert_all(v: np.ndarray, m: int = 16, ef: int = 200, seed: int = 42) -> tup
             if not near:
                 continue
             seen.update(near)
-            for d, j in zip((1 - u[near] @ q).tolist(), near):
+            for d, j in zip(far(near), near):
                 if len(best) < width or d < -best[0][0]:
                     heapq.heappush(todo, (d, j))
                     heapq.heappush(best, (-d, j))
@@ -287,11 +302,16 @@ def insert_all(v: np.ndarray, m: int = 16, ef: int = 200, seed: int = 42) -> tup
 
     for i in range(len(u)):
         q, top = u[i], int(height[i])
+        if i < ROWS:  # all distances at once are cheaper than some at a time
+            row = 1 - u[:i] @ q
+            far = lambda some, row=row: row[some].tolist()
+        else:
+            far = lambda some, q=q: (1 - u[some] @ q).tolist()
         starts = [entry] if entry >= 0 else []
         for k in range(len(levels) - 1, top, -1):
-            starts = [walk(levels[k], q, starts, 1)[0][1]]
+            starts = [walk(levels[k], far, starts, 1)[0][1]]
         for k in range(min(top, len(levels) - 1), -1, -1):
-            found = walk(levels[k], q, starts, ef)
+            found = walk(levels[k], far, starts, ef)
             most = 2 * m if k == 0 else m
             levels[k][i] = pick(found, m)
             for j in levels[k][i]:
@@ -332,46 +352,102 @@ def build_hierarchy(rows: DataFrame, m: int = 16, ef: int = 200, seed: int = 42,
     return built.select("shard", "entry_nid", "max_level").distinct(), built.drop("entry_nid", "max_level")
 
 
+class Shard:
+    """The levels of one shard, with its entry."""
+
+    def __init__(self, table: pa.Table):
+        self.levels: list[Level] = []
+        level = table["level"].to_numpy()
+        for k in range(int(level.max()) + 1):
+            t = table.filter(pa.array(level == k)).sort_by("nid")
+            self.levels.append(Level.of(t["nid"].to_numpy(), matrix(t["sketch"]), t["neighbors"].to_pylist()))
+        self.entry = int(table["nid"].to_numpy()[int(np.flatnonzero(table["door"].to_numpy(zero_copy_only=False))[0])])
+
+    def search(self, q: np.ndarray, ef: int, patience: int) -> list[tuple[int, float]]:
+        q = _query(q, self.levels[0].sketch.shape[1])
+        at = self.entry
+        for g in self.levels[:0:-1]:
+            at = int(g.nids[beam(g, q, np.array([g.place[at]]), 1)[0][1]])
+        g = self.levels[0]
+        return [(int(g.nids[i]), d) for d, i in beam(g, q, np.array([g.place[at]]), ef, patience)]
+
+
+#: Shards that this worker keeps, by the plan of their table and their number.
+_KEPT: OrderedDict[tuple[int, int], Shard] = OrderedDict()
+
+
 def hnsw_scan(meta: DataFrame, nodes: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, r1: DataFrame | None = None, ef: int = 64, lim: int = 10, rerank: int = 0, rerank1: int = 0, patience: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance) on a hierarchy: down to level 1 by the nearest node, then a walk of width ef on level 0.
 
-    r1 (nid, rerank_vec) reorders the candidates and keeps max(rerank1, lim) of them; vectors (id, embedding) give the final order.
+    Every shard gives its candidates. r1 (nid, rerank_vec), with the shard if there are several, reorders them and keeps
+    max(rerank1, lim) of each shard; vectors (id, embedding) give the final order.
     """
     if lim < 1:
         raise ValueError("lim is at least 1")
     spark = nodes.sparkSession
     patience = int(config.setting(spark, "graphPatience")) if patience is None else patience
+    most = int(config.setting(spark, "levelCache"))
     ef = max(ef, lim, 1)
-    heads = meta.orderBy("shard").collect() if "shard" in meta.columns else meta.withColumn("shard", F.lit(0)).collect()
-    if not heads:
+    if "shard" not in meta.columns:
+        meta, nodes = meta.withColumn("shard", F.lit(0)), nodes.withColumn("shard", F.lit(0))
+    highest = meta.agg(F.max("shard")).first()[0]
+    if highest is None:
         raise ValueError("the graph has no entry")
-    found: DataFrame | None = None
-    for head in heads:
-        own = nodes.filter(F.col("shard") == head["shard"]) if "shard" in nodes.columns else nodes
-        levels = [Level.load(own.filter(F.col("level") == k)) for k in range(head["max_level"] + 1)]
-        held = spark.sparkContext.broadcast([(g.nids, g.sketch, g.first, g.to, g.place) for g in levels])
-        door = head["entry_nid"]
-
-        def run(q: np.ndarray, held=held, door=door) -> list[tuple[int, float]]:
-            levels = [Level(*x) for x in held.value]
-            q = _query(q, levels[0].sketch.shape[1])
-            at = door
-            for g in levels[:0:-1]:
-                at = int(g.nids[beam(g, q, np.array([g.place[at]]), 1)[0][1]])
-            g = levels[0]
-            return [(int(g.nids[i]), d) for d, i in beam(g, q, np.array([g.place[at]]), ef, patience)]
-
-        one = _search(queries, run)
-        if rerank > 0:
-            one = _topk(one, max(rerank, lim)).drop("rank")
-        if r1 is not None:
-            q = queries.select(F.col("query_id").cast("long"), F.col("query").alias("q"))
-            one = one.join(r1.select("nid", "rerank_vec"), "nid", "left").join(q, "query_id")
-            one = one.withColumn("distance", F.coalesce(cosine_distance("rerank_vec", F.slice("q", 1, F.size("rerank_vec"))), F.lit(float("inf"))))
-            one = _topk(one.select("query_id", "nid", "distance"), max(rerank1, lim)).drop("rank")
-        one = _reranked(one, own.filter("level = 0"), queries, vectors, max(lim, rerank), rerank)
-        found = one if found is None else found.union(one)
-    return found if len(heads) == 1 and max(lim, rerank) == lim else _topk(found.drop("rank"), lim, tie="id").select("query_id", "rank", "id", "distance")
+    token = nodes._jdf.queryExecution().analyzed().semanticHash()
+    doors = meta.select(F.col("shard").alias("s"), F.col("entry_nid").alias("e"), F.col("max_level").alias("top"))
+    graph = nodes.join(F.broadcast(doors), (F.col("shard") == F.col("s")) & (F.col("level") <= F.col("top")))  # a row for each shard
+    graph = graph.select(F.col("shard").cast("int").alias("shard"), F.lit(False).alias("asks"), F.col("level").cast("int").alias("level"), F.col("nid").cast("long").alias("nid"), F.col("sketch").cast("array<double>").alias("sketch"), F.col("neighbors").cast("array<long>").alias("neighbors"), (F.col("nid") == F.col("e")).alias("door"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query")).filter("query IS NOT NULL")
+    none = lambda kind: F.lit(None).cast(kind)
+    asking = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(highest)))))
+    asking = asking.select("shard", F.lit(True).alias("asks"), none("int").alias("level"), F.col("query_id").alias("nid"), F.col("query").alias("sketch"), none("array<long>").alias("neighbors"), none("boolean").alias("door"))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now, shard = -1, None
+        for batch in batches:
+            number, asks = batch["shard"].to_numpy(), batch["asks"].to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((number[1:] != number[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(batch)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if number[a] != now:
+                    now, held, shard = int(number[a]), [], None
+                part = batch.slice(a, b - a)
+                if not asks[a]:
+                    held.append(part)
+                    continue
+                if shard is None:
+                    shard = _KEPT.get((token, now))
+                    if shard is None:
+                        if not held:
+                            continue  # a number without a shard
+                        shard = Shard(pa.Table.from_batches(held))
+                        if most:
+                            _KEPT[token, now] = shard
+                            while len(_KEPT) > most:
+                                _KEPT.popitem(last=False)
+                    held = []
+                out = [(now, i, n, d) for i, q in zip(part["nid"].to_pylist(), matrix(part["sketch"])) for n, d in shard.search(q, ef, patience)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.float64()))], ["shard", "query_id", "nid", "distance"])
+
+    parted = graph.union(asking).repartitionById(int(highest) + 1, F.col("shard")).sortWithinPartitions("shard", "asks")
+    found = parted.mapInArrow(answer, "shard int, query_id long, nid long, distance double")
+
+    def first(df: DataFrame, k: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id", "shard").orderBy("distance", "nid"))
+        return df.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+    if rerank > 0:
+        found = first(found, max(rerank, lim))
+    if r1 is not None:
+        on = ["nid", "shard"] if "shard" in r1.columns else ["nid"]
+        found = found.join(r1.select(*on, "rerank_vec"), on, "left").join(asked, "query_id")
+        found = found.withColumn("distance", F.coalesce(cosine_distance("rerank_vec", F.slice("query", 1, F.size("rerank_vec"))), F.lit(float("inf"))))
+        found = first(found.select("shard", "query_id", "nid", "distance"), max(rerank1, lim))
+    found = found.join(nodes.filter("level = 0").select("nid", "shard", F.col("src_id").cast("string").alias("id")), ["nid", "shard"]).drop("shard")
+    return _final(found, queries, vectors, lim)
 
 
 def route_ceiling(truth: DataFrame, placed: DataFrame, probes: DataFrame) -> DataFrame:
@@ -382,6 +458,12 @@ def route_ceiling(truth: DataFrame, placed: DataFrame, probes: DataFrame) -> Dat
     return each.select("r", (F.sum("n").over(Window.orderBy("r")) / F.col("total")).alias("ceiling"))
 
 
+def save_levels(meta: DataFrame, nodes: DataFrame, prefix: str) -> None:
+    """A hierarchy as tables {prefix}_meta and {prefix}_nodes, which open_levels() reads."""
+    meta.write.parquet(f"{prefix}_meta")
+    nodes.write.parquet(f"{prefix}_nodes")
+
+
 def open_levels(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
     """A hierarchy that was written as {prefix}_meta and {prefix}_nodes."""
     return spark.read.parquet(f"{prefix}_meta"), spark.read.parquet(f"{prefix}_nodes")

@@ -229,6 +229,25 @@ def encode(spark: SparkSession, v: Column, codes: Codes, of: Column | None = Non
     return F.arrow_udf(lambda a: run(a), BinaryType())(v)
 
 
+def adc_by_list(tables: dict[int, np.ndarray], of: Column, code: Column) -> Column:
+    """Distances of a query to codes of residuals, by its table for each list; null for other lists and codes of another length."""
+    names = np.array(sorted(tables))
+    stacked = np.stack([tables[p] for p in names.tolist()])
+    m = stacked.shape[1]
+
+    def run(lists: pa.Array, column: pa.Array) -> pa.Array:
+        rows, at = column.to_pylist(), lists.fill_null(-1).to_numpy(zero_copy_only=False)
+        place = np.minimum(np.searchsorted(names, at), len(names) - 1)
+        ok = np.flatnonzero((names[place] == at) & np.array([r is not None and len(r) == m for r in rows], bool))
+        out = np.zeros(len(rows))
+        if len(ok):
+            c = np.frombuffer(b"".join(rows[i] for i in ok.tolist()), np.uint8).reshape(-1, m)
+            out[ok] = stacked[place[ok][:, None], np.arange(m), c].astype(np.float64).sum(1)
+        return pa.array(out, mask=np.isin(np.arange(len(rows)), ok, invert=True))
+
+    return F.arrow_udf(run, DoubleType())(of.cast("int"), code)
+
+
 def adc_distance(table: np.ndarray, code: Column, strict: bool = True) -> Column:
     """Distances of a query, by its table, to codes; codes of another length are an error or, if not strict, null."""
 
