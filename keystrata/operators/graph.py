@@ -145,30 +145,62 @@ def _final(found: DataFrame, queries: DataFrame, vectors: DataFrame | None, lim:
     return _topk(found, lim, tie="id").select("query_id", "rank", "id", "distance")
 
 
-def graph_scan(nodes: DataFrame, queries: DataFrame, entries: DataFrame | None = None, vectors: DataFrame | None = None, ef: int = 64, lim: int = 10, rerank: int = 0, patience: int | None = None) -> DataFrame:
-    """(query_id, rank, id, distance) on a flat graph, from the entries nearest to the query or, without entries, from node 0."""
-    if lim < 1:
-        raise ValueError("lim is at least 1")
-    spark = nodes.sparkSession
-    patience = int(config.setting(spark, "graphPatience")) if patience is None else patience
-    ef = max(ef, lim, 1)
+def held_walk(nodes: DataFrame, entries: DataFrame | None, patience: int):
+    """A function from (query, ef) to (0, nid, distance) of a flat graph, which is sent to the tasks, its size checked."""
     g = Level.load(nodes)
     if entries is not None:
-        rows = entries.orderBy("entry_nid").collect()
+        rows = entries.orderBy("entry_nid").collect()  # one for each partition
         if not rows:
             raise ValueError("the table of entries is empty")
         doors, centres = np.array([g.place[r["entry_nid"]] for r in rows]), _unit(np.array([r["centroid"] for r in rows]))
     else:
         doors, centres = np.array([g.place.get(0, 0)]), g.sketch[[g.place.get(0, 0)]]
-    held = shared(spark, g.nids, g.sketch, g.first, g.to, doors, centres)
+    held = shared(nodes.sparkSession, g.nids, g.sketch, g.first, g.to, doors, centres)
 
-    def run(q: np.ndarray) -> list[tuple[int, float]]:
+    def walk(q: np.ndarray, ef: int) -> list[tuple[int, int, float]]:
         nids, sketch, first, to, doors, centres = held.value
-        level = Level(nids, sketch, first, to)
         q = _query(q, sketch.shape[1])
         starts = doors[np.argsort(1 - centres @ q, kind="stable")[:STARTS]]
-        return [(int(nids[i]), d) for d, i in beam(level, q, starts, ef, patience)]
+        return [(0, int(nids[i]), d) for d, i in beam(Level(nids, sketch, first, to), q, starts, ef, patience)]
+
+    return walk
+
+
+def held_hierarchy(meta: DataFrame, nodes: DataFrame, patience: int):
+    """A function from (query, ef) to (shard, nid, distance) of a hierarchy, which is sent to the tasks, its size checked."""
+    spark = nodes.sparkSession
+    if "shard" not in meta.columns:
+        meta, nodes = meta.withColumn("shard", F.lit(0)), nodes.withColumn("shard", F.lit(0))
+    size = nodes.agg(F.coalesce(F.sum(F.size("sketch") * 8 + F.size("neighbors") * 8 + 24), F.lit(0))).first()[0]
+    most = int(config.setting(spark, "broadcastBytes"))
+    if size > most:
+        raise ValueError(f"a graph of {size} bytes is more than spark.keystrata.broadcastBytes, {most}; send the queries to hnsw_scan()")
+    doors = meta.select("shard", F.col("entry_nid").alias("e"))
+    t = nodes.join(doors, "shard").select("shard", "level", "nid", F.col("sketch").cast("array<double>").alias("sketch"), "neighbors", (F.col("nid") == F.col("e")).alias("door")).toArrow()
+    if not len(t):
+        raise ValueError("the graph has no entry")
+    held = spark.sparkContext.broadcast({s: t.filter(pa.array(t["shard"].to_numpy() == s)) for s in np.unique(t["shard"].to_numpy()).tolist()})
+    shards: dict[int, Shard] = {}
+
+    def walk(q: np.ndarray, ef: int) -> list[tuple[int, int, float]]:
+        out = []
+        for s, table in held.value.items():
+            if s not in shards:
+                shards[s] = Shard(table)
+            out += [(int(s), n, d) for n, d in shards[s].search(q, ef, patience)]
+        return out
+
+    return walk
+
 
+def graph_scan(nodes: DataFrame, queries: DataFrame, entries: DataFrame | None = None, vectors: DataFrame | None = None, ef: int = 64, lim: int = 10, rerank: int = 0, patience: int | None = None) -> DataFrame:
+    """(query_id, rank, id, distance) on a flat graph, from the entries nearest to the query or, without entries, from node 0."""
+    if lim < 1:
+        raise ValueError("lim is at least 1")
+    patience = int(config.setting(nodes.sparkSession, "graphPatience")) if patience is None else patience
+    ef = max(ef, lim, 1)
+    walk = held_walk(nodes, entries, patience)
+    run = lambda q: [(nid, d) for _, nid, d in walk(q, ef)]
     return _reranked(_search(queries, run), nodes, queries, vectors, lim, rerank)
 
 

@@ -118,3 +118,87 @@ def test_sql_functions(spark):
     register.register(spark)
     r = spark.sql("SELECT vector_out(vector_in('[1 2.5]')), half_out(half_in('[0.1]')), cosine_distance(vector_in('[1,0]'), vector_in('[0,1]')), locator_to_hex(locator_pack(1, 2)), vector_vq(vector_in('[1,2,3]'), 8, 42), vector_simhash(NULL, 42), vector_out(vector_recv(vector_send(vector_in('[3]'))))").first()
     assert tuple(r) == ("[1,2.5]", "[0.1]", 1.0, "0000000000000001:0000000000000002", int(hashes.vq(np.array([[1, 2, 3]]), 8)[0]), None, "[3]")
+
+
+def test_locator_functions_in_sql(spark):
+    register.register(spark)
+    a, b = "locator_pack(-1, 5)", "locator_pack_minor(7)"
+    names = ("less", "less_or_equal", "equal", "greater_or_equal", "greater", "unequal")
+    sql = ", ".join(f"locator_{n}({x}, {y})" for n in names for x, y in ((a, b), (b, a), (a, a)))
+    cols = [f(x, y) for f in (locator.less, locator.less_or_equal, locator.equal, locator.greater_or_equal, locator.greater, locator.unequal) for x, y in ((1, 2), (2, 1), (1, 1))
+            for x, y in [[{1: locator.pack(F.lit(-1), F.lit(5)), 2: locator.pack_minor(F.lit(7))}[i] for i in (x, y)]]]
+    want = (True, False, False, True, False, True, False, False, True, False, True, True, False, True, False, True, True, False)
+    assert tuple(spark.sql(f"SELECT {sql}").first()) == want == tuple(spark.range(1).select(*cols).first())
+    r = spark.sql(f"SELECT locator_major({a}), locator_minor({a}), locator_compare({a}, {b}), locator_compare(NULL, {b}), locator_to_hex(locator_advance_major({b}, -3)), locator_to_hex(locator_next_minor({a}, 2))").first()
+    assert tuple(r) == (-1, 5, -1, None, "FFFFFFFFFFFFFFFD:0000000000000007", "FFFFFFFFFFFFFFFF:0000000000000007")
+    for bad in ("locator_major(unhex('00'))", "locator_advance_major(locator_pack(9223372036854775807, 0), 1)"):
+        with pytest.raises(Exception, match="(?i)16 bytes|overflow"):
+            spark.sql(f"SELECT {bad}").collect()
+
+
+def test_model_functions_in_sql(spark):
+    v, df = fixture(spark)
+    df.union(spark.createDataFrame([("none", None)], df.schema)).createOrReplaceTempView("fixture_rows")
+    lists, codes = quantize.ivf_train(df, "embedding", 4), quantize.pq_train(df, "embedding", 2, most=300)
+    residual = quantize.pq_train(df, "embedding", 2, most=300, lists=lists)
+    x = np.array([r[1] for r in v], np.float32)
+    register.register(spark)
+    register.register_models(spark, codes, lists)
+    got = {r["id"]: r for r in spark.sql("SELECT id, pq_encode(embedding) AS c, ivf_assign(embedding) AS p, ivf_probe(embedding, 3) AS ps, pq_distance(embedding, pq_encode(embedding)) AS d, pq_adc_lookup(pq_distance_table(embedding), pq_encode(embedding)) AS l FROM fixture_rows").collect()}
+    code, of = codes.encode(x), lists.assign(x)
+    for i, (name, q) in enumerate(v):
+        r = got[name]
+        assert bytes(r["c"]) == code[i].tobytes() and r["p"] == of[i] and r["ps"] == lists.probe(x[i : i + 1], 3)[0].tolist()
+        assert r["d"] == r["l"] == quantize.adc(codes.table(x[i]), code[i : i + 1])[0]
+    assert list(got["none"])[1:] == [None] * 5
+    register.register_models(spark, residual)
+    r = spark.sql("SELECT pq_encode_residual(embedding, 1) AS c, pq_distance_residual(embedding, 1, pq_encode_residual(embedding, 1)) AS d, pq_adc_lookup(pq_distance_table_residual(embedding, 1), pq_encode_residual(embedding, 1)) AS l FROM fixture_rows WHERE id = 'v007'").first()
+    assert bytes(r["c"]) == residual.encode(x[6:7], np.array([1]))[0].tobytes() and r["d"] == r["l"]
+
+
+def test_searches_in_sql(spark, tmp_path):
+    v, df = fixture(spark)
+    q = [5, 3, 6, 7, 1, 2, 4, 2]
+    text = "array(" + ", ".join(f"{x}f" for x in q) + ")"
+    lists, codes = quantize.ivf_train(df, "embedding", 4), quantize.pq_train(df, "embedding", 2, most=300)
+    t = ann.build(df, f"{tmp_path}/a", lists, codes, files=2)
+    near = lambda rows: [(r["id"], round(r["distance"], 5)) for r in rows]
+    register.register_search(spark, t, codes, lists)
+    for rerank in (0, 40):
+        assert near(spark.sql(f"SELECT * FROM ann_search({text}, 2, 5, {rerank}) ORDER BY distance, id").collect()) == near(ann.search(t, q, lists, codes, 2, 5, rerank).collect())
+        assert near(spark.sql(f"SELECT * FROM ann_scan({text}, 2, 5, {rerank}) ORDER BY distance, id").collect()) == near(ann.scan(t, q, codes, lists, 2, 5, rerank).collect())
+    sketch = ann.sketches(t, 4)
+    register.register_search(spark, t, codes, lists, sketch)
+    assert near(spark.sql(f"SELECT * FROM ann_scan({text}, 3, 5, 60, 20) ORDER BY distance, id").collect()) == near(ann.scan(t, q, codes, lists, 3, 5, 60, sketch, 20).collect())
+    with pytest.raises(Exception, match="no sketch"):
+        ann.scan(t, q, codes, lists, 3, 5, 60, sketch.limit(10), 20).collect()
+    residual = quantize.pq_train(df, "embedding", 2, most=300, lists=lists)
+    u = ann.build(df, f"{tmp_path}/b", lists, residual, files=2)
+    register.register_search(spark, u, residual)
+    assert near(spark.sql(f"SELECT * FROM ann_scan({text}, 2, 5, 0) ORDER BY distance, id").collect()) == near(ann.scan(u, q, residual, nprobe=2, lim=5).collect())
+    df.filter("id IN ('v001', 'v002')").createOrReplaceTempView("fixture_queries")
+    assert spark.sql("SELECT f.id, s.distance FROM fixture_queries f, LATERAL ann_scan(f.embedding, 4, 3, 50) s").count() == 6
+    spark.createDataFrame([(1, [float(x) for x in q])], "query_id long, query array<float>").createOrReplaceTempView("fixture_asked")
+    register.search_view(spark, "fixture_found", t, "fixture_asked", lists, codes, 4, 5, 300)
+    assert [r["id"] for r in spark.table("fixture_found").orderBy("rank").collect()] == [r["id"] for r in ann.exact(df, q, 5).collect()]
+
+
+def test_graphs_in_sql(spark, tmp_path):
+    v, df = fixture(spark)
+    q = v[6][1]
+    text = "array(" + ", ".join(f"{x}f" for x in q) + ")"
+    placed = df.withColumn("partition_id", F.lit(0)).withColumnRenamed("embedding", "sketch")
+    asked = spark.createDataFrame([(1, q)], "query_id long, query array<float>")
+    nodes, entries = graph.build_flat(placed)
+    register.register_graph(spark, nodes, entries, rows=df)
+    near = lambda rows: [(r["id"], round(r["distance"], 9)) for r in rows]
+    assert near(spark.sql(f"SELECT * FROM graph_scan({text}, 64, 5) ORDER BY distance, id").collect()) == near(graph.graph_scan(nodes, asked, entries, df, 64, 5).orderBy("rank").collect())
+    meta, levels = graph.build_hierarchy(placed, m=8, ef=64, shards=2)
+    graph.save_levels(meta, levels, f"{tmp_path}/g")
+    meta, levels = graph.open_levels(spark, f"{tmp_path}/g")
+    register.register_graph(spark, levels, meta=meta, rows=df)
+    for most in ("0", "4"):
+        spark.conf.set("spark.keystrata.levelCache", most)
+        for _ in range(2):
+            assert near(spark.sql(f"SELECT * FROM hnsw_scan({text}, 64, 5) ORDER BY distance, id").collect()) == near(graph.hnsw_scan(meta, levels, asked, df, ef=64, lim=5).orderBy("rank").collect())
+    spark.conf.unset("spark.keystrata.levelCache")
