@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.config import shared_folder
-from keystrata.functions import locator
+from keystrata.functions import locator, register
 from keystrata.operators import maintain, placement
 from keystrata.sources import datasource
 from keystrata.sources.table import STATS, Key, KeyTable
@@ -161,9 +161,23 @@ def vacuum_rebuild(spark, sf_dir):
     return t.scan([("o_orderkey", "<", 640)])
 
 
-@query()
+@query("SELECT count(*) AS rows_total, count(*) FILTER (WHERE o_orderkey BETWEEN 100 AND 1200) AS rows_found, TRUE AS adds_up, TRUE AS one_range, TRUE AS no_file_too_many FROM orders")
 def explain_scan(spark, sf_dir):
-    return orders(spark, sf_dir).explain_scan([("o_orderkey", "between", (100, 1200))])
+    """What explain_scan() counts, against the rows: the files with a row in the range are one stretch, and no other file is read."""
+    t, where = orders(spark, sf_dir), [("o_orderkey", "between", (100, 1200))]
+    seen = t.explain_scan(where).select((F.col("files_total") == F.col("files_scanned") + F.col("files_pruned")).alias("adds_up"), (F.col("n_ranges") == 1).alias("one_range"), "files_scanned")
+    rows = t._with_file(t.manifest.files)
+    files = rows.groupBy("__file").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderkey").between(100, 1200)).alias("hits"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    files = files.agg(F.sum("n").alias("rows_total"), F.sum("hits").alias("rows_found"), F.count_if((F.col("low") <= 1200) & (F.col("high") >= 100)).alias("meet"))
+    return files.join(seen).select("rows_total", "rows_found", "adds_up", "one_range", (F.col("files_scanned") == F.col("meet")).alias("no_file_too_many"))
+
+
+@query("SELECT n_nationkey, n_nationkey - 10 < 0 OR (n_nationkey = 10 AND n_regionkey < 2) AS less, n_nationkey = 10 AND n_regionkey = 2 AS same, n_nationkey + 5 AS major, n_regionkey + 2 AS minor FROM nation")
+def locator_sql(spark, sf_dir):
+    register.register(spark)
+    read(spark, sf_dir, "nation").createOrReplaceTempView("keystrata_nation")
+    return spark.sql("""SELECT n_nationkey, locator_less(l, o) AS less, locator_equal(l, o) AS same, cast(locator_major(locator_advance_major(l, 15)) AS INT) AS major, cast(locator_minor(locator_next_minor(l, 2)) AS INT) AS minor
+        FROM (SELECT *, locator_pack(n_nationkey - 10, n_regionkey) AS l, locator_pack_minor(2) AS o FROM keystrata_nation)""")
 
 
 @query("SELECT * FROM orders UNION ALL SELECT o_orderkey + 100000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders UNION ALL SELECT -1 - o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
