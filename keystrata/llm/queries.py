@@ -83,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_segments": chat.SEGMENTS_SQL,
+        "op5_repeated_passages": substrings.PASSAGES_SQL,
         "op6_mixture": mixing.SAMPLE_SQL,
         "op7_near_vectors": metric.links_sql(metric.SIMILAR),
         "near_vectors_loose": metric.links_sql(LOOSE),

@@ -5,6 +5,10 @@ it travel as one packed string to the bucket of that hash, so a word is shipped
 windows have equal minimisers and so meet in one bucket, where sorting their fingerprints, checked byte by byte, counts
 them exactly.
 
+A bucket of over HOT strings, that of a passage in very many documents, is not sent to one task. Buckets that stand more than
+once in a batch are counted first; the windows of the hot ones are told apart by 128-bit digests, aggregated where they lie,
+and joined with their counts. No task so gets more of a bucket than HOT strings and one for each batch.
+
 Words are what ASCII white space separates; how much of it stands between two words doesn't matter. Null and empty texts,
 texts of fewer than K words and rows without an id have no windows. An occurrence is (doc_id, hash of the text, position);
 the least one of a window is its first. Rows that repeat both id and text are one occurrence counted as often as it stands
@@ -16,6 +20,7 @@ Ids that aren't integers are an error.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,9 @@ from keystrata.llm import common, text as T
 K = 50
 M = 5
 PACKED = "bucket long, doc_id long, key long, start int, twice boolean, packed binary"
+#: Strings of a bucket from which it is hot.
+HOT = 1 << 18
+WINDOWS = "x long, y long, doc_id long, key long, start int"
 RUNS = "doc_id long, key long, a int, b int, first boolean, copies long"
 
 
@@ -47,7 +55,13 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def super_kmers(texts: list[bytes], k: int, m: int) -> tuple[np.ndarray, ...]:
+def _spaced(c: T.Texts) -> list[bytes]:
+    """The texts with single spaces."""
+    data = c.data.tobytes()
+    return [b" ".join(data[a:b].split()) for a, b in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist())]
+
+
+def super_kmers(texts: list[bytes], k: int, m: int, packing: bool = True) -> tuple[np.ndarray, ...]:
     """(text, first window, bucket, whether the minimiser stands there twice, packed strings) of texts with single spaces."""
     data = b" ".join(texts)
     size = np.array([len(t) for t in texts], np.int64)
@@ -70,23 +84,56 @@ def super_kmers(texts: list[bytes], k: int, m: int) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(start)) - 1
     begin, end = w.start[start[head]].tolist(), w.end[start[tail] + k - 1].tolist()
-    packed = [data[a:b] for a, b in zip(begin, end)]
+    packed = [data[a:b] for a, b in zip(begin, end)] if packing else []
     return of[head], (start[head] - w.first[of[head]]).astype(np.int32), value[head], place[head] != place[tail], packed
 
 
-def _extract(k: int, m: int):
+def _sizes(k: int, m: int):
+    """Of each batch the buckets that stand there more than once, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [super_kmers(_spaced(c), k, m, False)[2] for c in T.chunks(batch["text"])]
+            bucket, n = np.unique(np.concatenate(found) if found else np.empty(0, T.U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[n > 1].view(np.int64)), pa.array(n[n > 1])], ["bucket", "n"])
+
+    return run
+
+
+def _extract(k: int, m: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch["doc_id"].to_numpy(zero_copy_only=False), batch["key"].to_numpy(zero_copy_only=False)
             for c in T.chunks(batch["text"]):
-                data = c.data.tobytes()
-                texts = [b" ".join(data[a:b].split()) for a, b in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist())]
-                of, start, bucket, twice, packed = super_kmers(texts, k, m)
+                of, start, bucket, twice, packed = super_kmers(_spaced(c), k, m)
                 if packed:
-                    yield pa.RecordBatch.from_arrays(
+                    out = pa.RecordBatch.from_arrays(
                         [pa.array(bucket.view(np.int64)), pa.array(ids[c.first + of]), pa.array(keys[c.first + of]), pa.array(start), pa.array(twice), pa.array(packed, pa.binary())],
                         ["bucket", "doc_id", "key", "start", "twice", "packed"],
                     )
+                    yield out.filter(pa.array(np.isin(bucket, hot, invert=True))) if len(hot) else out
+
+    return run
+
+
+def _hot_windows(k: int, m: int, hot: np.ndarray):
+    """Each window of the hot buckets, by a digest of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch["doc_id"].to_numpy(zero_copy_only=False), batch["key"].to_numpy(zero_copy_only=False)
+            for c in T.chunks(batch["text"]):
+                of, start, bucket, _, packed = super_kmers(_spaced(c), k, m)
+                digests, rows, places = [], [], []
+                for i in np.flatnonzero(np.isin(bucket, hot)).tolist():
+                    words = packed[i].split(b" ")
+                    n = len(words) - k + 1
+                    digests += [blake2b(b" ".join(words[j : j + k]), digest_size=16).digest() for j in range(n)]
+                    rows += [of[i]] * n
+                    places += range(start[i], start[i] + n)
+                if digests:
+                    xy, rows = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), c.first + np.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1]), pa.array(ids[rows]), pa.array(keys[rows]), pa.array(places, pa.int32())], ["x", "y", "doc_id", "key", "start"])
 
     return run
 
@@ -203,13 +250,25 @@ def _count(k: int, enough: int = 20_000):
     return run
 
 
-def repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def _hot_runs(d: DataFrame, k: int, m: int, hot: np.ndarray) -> DataFrame:
+    """RUNS of one window each, of the hot buckets."""
+    windows = common.cut(d.mapInArrow(_hot_windows(k, m, hot), WINDOWS))
+    counted = windows.groupBy("x", "y").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start")).alias("least")).filter("copies > 1")
+    first = F.struct("doc_id", "key", "start") == F.col("least")
+    return windows.join(counted, ["x", "y"]).select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + 1).alias("b"), first.alias("first"), "copies")
+
+
+def repeated_windows(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """(doc_id, key, a, b, first, copies): maximal runs a to b - 1 of windows that stand at least twice in docs, apart by whether they are the windows' first occurrence."""
     common.integers(docs, "doc_id")
     d = common.narrow(docs, doc_id="doc_id", text="text")
     d = d.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = d.mapInArrow(_extract(k, m), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), RUNS)
+    large = d.select("text").mapInArrow(_sizes(k, m), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
+    hottest = np.array([r["bucket"] for r in large.collect()], np.int64).view(T.U)  # one for each hot strings at most
+    runs = d.mapInArrow(_extract(k, m, hottest), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), RUNS)
+    if len(hottest):
+        runs = runs.union(_hot_runs(d, k, m, hottest))
     w = Window.partitionBy("doc_id", "key").orderBy("a", "first")
     runs = runs.distinct()  # rows that repeat an id and its text
     runs = runs.withColumn("new", F.coalesce((F.lag("first").over(w) != F.col("first")) | (F.lag("b").over(w) != F.col("a")), F.lit(True)))
@@ -217,9 +276,9 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     return runs.groupBy("doc_id", "key", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.first("first").alias("first"), F.max("copies").alias("copies")).drop("island")
 
 
-def repeated_passages(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, n_words, first, copies): the passages that consist of repeated windows; copies is the most occurrences of one of them."""
-    return repeated_windows(docs, k, m).select("doc_id", F.col("a").cast("long").alias("start_word"), (F.col("b") - F.col("a") + k - 1).cast("long").alias("n_words"), "first", "copies")
+    return repeated_windows(docs, k, m, hot).select("doc_id", F.col("a").cast("long").alias("start_word"), (F.col("b") - F.col("a") + k - 1).cast("long").alias("n_words"), "first", "copies")
 
 
 def _cut_text(k: int, text_column: str):
@@ -253,12 +312,12 @@ def _cut_text(k: int, text_column: str):
     return run
 
 
-def drop_later_copies(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def drop_later_copies(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """docs, in the same columns, without the words of any window that isn't its first occurrence; n_chars, if there, is the new length.
 
     A text that loses all its words goes with its row; one that had none stays. The pieces around a removed passage are joined by a line break.
     """
-    later = repeated_windows(docs, k, m).filter(~F.col("first")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    later = repeated_windows(docs, k, m, hot).filter(~F.col("first")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     later = later.select(F.col("doc_id").alias("id"), "key", "runs")
     plain, (doc_id, text) = common.numbered(docs, "doc_id", "text")
     both = plain.join(later, (F.col(doc_id).cast("long") == F.col("id")) & (F.xxhash64(text) == F.col("key")), "left").drop("id", "key")
@@ -267,3 +326,14 @@ def drop_later_copies(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
         (n_chars,) = common.numbered(docs, "n_chars")[1]
         kept = kept.withColumn(n_chars, F.length(text).cast(docs.schema["n_chars"].dataType))
     return kept.toDF(*docs.columns)
+
+
+#: All windows as texts. Of rows that share a doc_id but not the text, the one that is first isn't told by SQL.
+PASSAGES_SQL = f"""
+WITH d AS (SELECT doc_id, text, count(*) AS times FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '') AS w FROM d),
+p AS (SELECT doc_id, text, times, w, unnest(range(0, len(w) - {K - 1})) AS a FROM w WHERE len(w) >= {K}),
+s AS (SELECT doc_id, text, times, a, array_to_string(w[a + 1 : a + {K}], ' ') AS s FROM p),
+c AS (SELECT doc_id, text, a, CAST(sum(times) OVER (PARTITION BY s) AS BIGINT) AS copies, row_number() OVER (PARTITION BY s ORDER BY doc_id, text, a) = 1 AS first FROM s),
+i AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, text, first ORDER BY a) AS island FROM c WHERE copies > 1)
+SELECT doc_id, CAST(min(a) AS BIGINT) AS start_word, CAST(max(a) - min(a) + {K} AS BIGINT) AS n_words, first, max(copies) AS copies FROM i GROUP BY doc_id, text, first, island"""

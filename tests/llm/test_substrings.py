@@ -30,9 +30,9 @@ def brute(rows, k):
     return out
 
 
-def found(spark, rows, k, m):
+def found(spark, rows, k, m, hot=substrings.HOT):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return {tuple(r) for r in substrings.repeated_passages(df, k, m).collect()}
+    return {tuple(r) for r in substrings.repeated_passages(df, k, m, hot).collect()}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -46,7 +46,7 @@ def test_as_brute_force(spark, seed):
         parts.insert(r.randint(0, 3), r.choice(shared))
         rows.append((i, r.choice(["  ", "\n", " "]).join(parts)))
     rows += [(100, None), (101, ""), (102, " \n"), (None, shared[0])]
-    assert found(spark, rows, 8, 3) == brute(rows, 8)
+    assert found(spark, rows, 8, 3) == brute(rows, 8) == found(spark, rows, 8, 3, hot=4)
 
 
 def test_empty_table(spark):
@@ -76,3 +76,37 @@ def test_drop_later_copies(spark):
     assert got == {(1, f"head {p} tail"), (2, "other\nend of it"), (4, None), (None, p), (5, "")}
 
 
+
+
+def test_a_passage_in_every_row_is_in_no_task_s_bucket(spark):
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{' '.join(f'a{r.randrange(10**6)}' for _ in range(12))} {passage} {' '.join(f'b{r.randrange(10**6)}' for _ in range(12))}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    seen = []
+    plain = substrings._extract
+    try:
+        substrings._extract = lambda k, m, hot: (seen.append(hot), plain(k, m, hot))[1]
+        out = substrings.repeated_passages(df, 50, 5, hot=1000).collect()
+    finally:
+        substrings._extract = plain
+    assert {tuple(x) for x in out} == brute(rows, 50)
+    (hot,) = seen
+    assert len(hot)
+    texts = [t.encode() for _, t in rows]
+    rest = substrings.super_kmers(texts, 50, 5)[2]
+    assert all((rest == b).sum() <= 1000 for b in set(rest.tolist()) - set(hot.tolist()))  # what is left to tasks
+    kept = substrings.drop_later_copies(df, 50, 5, hot=1000).collect()
+    assert sum("p5 p6" in x["text"] for x in kept) == 1 and len(kept) == 3000
+
+
+def test_odd_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, n_chars int")
+    assert substrings.drop_later_copies(df).collect() == []
+    t = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(2, t, "x", 1), (1, "v " + t, "y", 2), (3, None, "z", 3)], "doc_id int, text string, TEXT string, `key` int")
+    assert [tuple(x) for x in substrings.repeated_passages(df).orderBy("doc_id").collect()] == [(1, 1, 200_000, True, 2), (2, 0, 200_000, False, 2)]
+    out = substrings.drop_later_copies(df)
+    assert out.columns == df.columns and sorted(x["key"] for x in out.collect()) == [2, 3]
+    with pytest.raises(TypeError):
+        substrings.repeated_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
