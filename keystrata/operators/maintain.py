@@ -96,6 +96,10 @@ def vacuum(t: KeyTable, keep_versions: int = 1, retain: float | None = None) ->
     for v in versions:
         if v not in last:
             t.store.delete(f"_manifest/v{v:012d}.json")
+    parts = {p.path for v in last for p in getattr(t.store.load(v).files, "parts", [])}
+    for p, age in t.store.parts():
+        if p not in parts and age >= max(retain, 3600):  # a publisher writes them just before its version
+            t.store.delete(p)
     return gone
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keystrata.operators import chunking
+from keystrata.operators import chunking, joins
 from keystrata.plans.storage import Query, read, scratch
 from keystrata.sources.table import KeyTable
 from keystrata.streaming import ingest
@@ -51,6 +51,14 @@ def semi_anti(spark, sf_dir):
     return semi.union(c.join(o, on, "left_anti").select("c_custkey", F.lit("anti").alias("kind")))
 
 
+@query("""SELECT a.event_id, a.user_id, b.seen, b.amount FROM (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase') a
+ASOF LEFT JOIN (SELECT user_id, ts AS seen, max(value) AS amount FROM events WHERE event_type = 'purchase' GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts >= b.seen""")
+def join_as_of(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    bought = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("seen"), F.col("value").alias("amount"))
+    return joins.as_of(e.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "seen").drop("ts")
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_partkey) AS parts, min(l_quantity) AS least, max(l_quantity) AS most, round(sum(l_extendedprice), 2) AS total, round(avg(l_discount), 9) AS discount, bool_and(l_tax >= 0) AS taxed FROM lineitem GROUP BY ALL")
 def agg_basic(spark, sf_dir):
     aggs = (F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.round(F.avg("l_discount"), 9).alias("discount"), F.bool_and(F.col("l_tax") >= 0).alias("taxed"))

@@ -5,6 +5,7 @@ The option scanPruning=false reads everything.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from keystrata.sources.manifest import Manifest
+from keystrata.sources.manifest import File, Manifest, _files
 from keystrata.sources.predicates import bounds
 from keystrata.sources.table import pruned
 
@@ -27,7 +28,13 @@ def _latest(path: str) -> Manifest:
     fs, root = _root(path)
     names = sorted(f.base_name for f in fs.get_file_info(pa.fs.FileSelector(f"{root}/_manifest")) if f.base_name.startswith("v") and f.size > 0)
     with fs.open_input_stream(f"{root}/_manifest/{names[-1]}") as f:
-        return Manifest.loads(f.read().decode())
+        text = f.read().decode()
+
+    def part(name: str) -> list[File]:
+        with fs.open_input_stream(f"{root}/{name}") as f:
+            return _files(json.loads(f.read().decode()))
+
+    return Manifest.loads(text, part)
 
 
 class Part(InputPartition):

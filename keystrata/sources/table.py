@@ -34,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.types import StructField, StructType
 
 from keystrata import config
-from keystrata.sources.manifest import Column, Conflict, File, Manifest, Store, encode
+from keystrata.sources.manifest import Column, Conflict, File, Files, Manifest, Part, Store, encode
 from keystrata.sources.predicates import Predicate, bounds, condition
 
 Key = str | tuple[str, bool]
@@ -87,14 +87,16 @@ def pruned(m: Manifest, where: Predicate) -> list[File]:
     except TypeError:
         return m.files
     tracked = [(i, ranges[c.name]) for i, c in keys if c.name in ranges]
-    out = []
-    for f in m.files:
+
+    def meets(x: File | Part) -> bool:
         try:
-            if all(b.meets(*f.span(i)) for i, b in tracked):
-                out.append(f)
+            return all(b.meets(*x.span(i)) for i, b in tracked)
         except TypeError:  # a literal of another type: the filter decides
-            out.append(f)
-    return out
+            return True
+
+    if isinstance(m.files, Files):
+        return [f for p in m.files.parts if meets(p) for f in m.files.of(p) if meets(f)]
+    return [f for f in m.files if meets(f)]
 
 
 def _file() -> SparkColumn:
@@ -207,7 +209,8 @@ class KeyTable:
         k = F.col(f"`{keys.columns[0]}`").cast(self._kind(0))
         named = keys.select((F.unix_micros(k) if self._kind(0) == "timestamp" else k).alias("k")).filter("k IS NOT NULL")
         hit = {x["i"] for x in named.mapInArrow(find, "i int").distinct().collect()} if known else set()  # numbers of files
-        return [m.files[i] for i in sorted(hit | set(unknown))]
+        files = list(m.files)
+        return [files[i] for i in sorted(hit | set(unknown))]
 
     def _kind(self, i: int) -> str:
         """The type of a key column."""
@@ -330,6 +333,17 @@ class KeyTable:
         if self.manifest.log:
             raise Conflict(f"{self.path} is being maintained; its files can't change their columns or key meanwhile")
 
+    def _guarded(self, df: DataFrame, kept: DataFrame) -> None:
+        """An error if the table, kept and df together, has two rows that share all columns of a guard; nulls are never shared."""
+        by = {c.physical: c.name for c in self.manifest.columns}
+        for guard in self.manifest.unique:
+            names = [by[c] for c in guard if c in by]
+            new = df.select(*(F.col(f"`{c}`") for c in names))
+            old = kept.select(*(F.col(f"`{c}`") for c in names)).join(new, names, "left_semi")
+            bad = new.union(old).dropna().groupBy(*(F.col(f"`{c}`") for c in names)).count().filter("count > 1").limit(1).collect()
+            if bad:
+                raise ValueError(f"({', '.join(names)}) stands twice: {bad[0].asDict()}")
+
     def _unique(self, df: DataFrame, also: DataFrame | None = None) -> None:
         if not self.manifest.primary:
             return
@@ -354,6 +368,8 @@ class KeyTable:
         if m.primary:
             keys = self._names()
             self._unique(df, self._logical(self._read(self.holding(df.select(f"`{keys[0]}`")))).join(df.select(*keys), keys, "left_semi"))
+        if m.unique:
+            self._guarded(df, self._logical(self._read(m.files)))
         rows = self._physical(df)
         found = self._write(self._clustered(rows, files))
         self._capture("I", self._read(found))
@@ -390,10 +406,12 @@ class KeyTable:
         if not gone:
             return m.files
         stretch: dict[str, int] = {}
-        for i, f in enumerate(m.files):
+        files, before, n = list(m.files), None, -1
+        for f in files:
             if f.path in gone:
-                before = m.files[i - 1].path if i else None
-                stretch[f.path] = stretch[before] if before in stretch else len(set(stretch.values()))
+                n += before not in gone
+                stretch[f.path] = n
+            before = f.path
         places = self.spark.createDataFrame(list(stretch.items()), "__file string, __stretch int")
         rows = change(self._with_file(old).join(places, "__file").drop("__file"))
         if added is not None:
@@ -407,7 +425,7 @@ class KeyTable:
             made.setdefault(int(f.path.split("/__stretch=")[1].split("/")[0]), []).append(f)
         out: list[File] = []
         done: set[int] = set()
-        for f in m.files:
+        for f in files:
             n = stretch.get(f.path)
             if n is None:
                 out.append(f)
@@ -440,6 +458,9 @@ class KeyTable:
         if moves and m.primary:
             rest = [f for f in m.files if f.path not in {o.path for o in old}]
             self._unique(changed(rows), self._logical(self._read(rest)))
+        if any(c in {x.physical for x in m.columns if x.name in changes} for guard in m.unique for c in guard):
+            rest = [f for f in m.files if f.path not in {o.path for o in old}]
+            self._guarded(changed(rows), self._logical(self._read(rest)))
         if m.log:
             if moves:
                 self._capture("D", self._physical(rows.filter(hit)))
@@ -490,6 +511,8 @@ class KeyTable:
                 dead = every.filter("__gone").select(*keys).join(df.select(*keys), keys, "left_anti")
             touched = every.select(*keys).distinct()
             old = self._hit(self.holding(every.select(f"`{keys[0]}`")), lambda rows: rows.join(touched, keys, "left_semi"))
+            if m.unique:
+                self._guarded(df, self._logical(self._read(m.files)).join(touched, keys, "left_anti"))
             if gone is not None and m.log:
                 self._capture("D", self._physical(self._logical(self._read(old)).join(dead, keys, "left_semi").select(*names)))
             if m.log:
@@ -529,7 +552,8 @@ class KeyTable:
     def drop_column(self, name: str) -> "KeyTable":
         if name in self._names():
             raise ValueError(f"{name} is a key column; drop the key first")
-        self._column(name)
+        if any(self._column(name).physical in guard for guard in self.manifest.unique):
+            raise ValueError(f"{name} is guarded; drop the guard first")
         return self._publish(replace(self.manifest, columns=[c for c in self.manifest.columns if c.name != name]))
 
     def rename_column(self, name: str, to: str) -> "KeyTable":
@@ -547,7 +571,7 @@ class KeyTable:
         physical = next(c.physical for c in columns if c.name == name)
         key = [(physical if k == old.physical else k, asc) for k, asc in self.manifest.key]
         was = self.manifest
-        self.manifest = replace(was, columns=columns, key=key)
+        self.manifest = replace(was, columns=columns, key=key, unique=[[physical if c == old.physical else c for c in g] for g in was.unique])
         found = self._write(self._clustered(self._physical(rows), max(1, len(was.files))))
         return self._publish(replace(self.manifest, files=found, valid=False, sorted=False, prefix=0))
 
@@ -569,6 +593,23 @@ class KeyTable:
             raise
         return self._publish(replace(self.manifest, valid=False, sorted=False, prefix=0))
 
+    def add_unique(self, columns: list[str]) -> "KeyTable":
+        """From now on no two rows may share all these columns; nulls are never shared. Rewrites keep the guard."""
+        guard = [self._column(c).physical for c in columns]
+        was = self.manifest
+        self.manifest = replace(was, unique=[*was.unique, guard])
+        try:
+            every = self._logical(self._read(was.files))
+            self._guarded(every, every.limit(0))
+        except ValueError:
+            self.manifest = was
+            raise
+        return self._publish(self.manifest)
+
+    def drop_unique(self, columns: list[str]) -> "KeyTable":
+        guard = [self._column(c).physical for c in columns]
+        return self._publish(replace(self.manifest, unique=[g for g in self.manifest.unique if g != guard]))
+
     def _column(self, name: str) -> Column:
         for c in self.manifest.columns:
             if c.name == name:

@@ -284,3 +284,54 @@ def test_columns_stay_while_the_table_is_maintained(spark, base):
     KeyTable(spark, path).add_column("note", "string").update({"note": "n"}, [("id", "=", 3)])
     o.finish()
     assert rows(KeyTable(spark, path).scan([("id", "<", 5)]).select("id", "note")) == [(0, None), (1, None), (2, None), (3, "n"), (4, None)]
+
+
+def test_manifests_in_parts(spark, tmp_path, monkeypatch):
+    from keystrata.sources import manifest
+
+    monkeypatch.setattr(manifest, "PART", 4)
+    df = spark.range(0, 2000, 2).selectExpr("id AS k", "id AS v")
+    t = KeyTable.load(df, f"{tmp_path}/t", ["k"], primary=True, files=18)
+    u = KeyTable(spark, f"{tmp_path}/t")
+    assert len(u.manifest.files.parts) == 5 and not u.manifest.files._held
+    assert u.scan([("k", "=", 10)]).count() == 1 and len(u.manifest.files._held) == 1  # other parts aren't opened
+    before = {p.path for p in u.manifest.files.parts}
+    u.update({"v": -1}, [("k", "=", 10)])
+    assert len(before - {p.path for p in u.manifest.files.parts}) == 1
+    u.append(spark.createDataFrame([(3, 3), (5000, 1)], "k long, v long"), 1)
+    maintain.merge(u)
+    assert truth(u) and u.manifest.sorted and KeyTable(spark, f"{tmp_path}/t").scan().count() == 1002
+    datasource.register(spark)
+    assert spark.read.format("keystrata").load(f"{tmp_path}/t").filter("k >= 1998").count() == 2
+    maintain.compact_online(u)
+    maintain.vacuum(u, retain=0)
+    assert rows(u.scan([("k", "<", 8)])) == [(0, 0), (2, 2), (3, 3), (4, 4), (6, 6)] and t.manifest.version < u.manifest.version
+
+
+def test_guards_survive_rewrites(spark, base):
+    df, path = base
+    t = KeyTable.load(df, path, ["id"], primary=True, files=3)
+    with pytest.raises(ValueError):
+        t.add_unique(["a"])
+    t.add_unique(["name"])
+    maintain.compact(t)
+    for change in (lambda: t.append(spark.createDataFrame([(900, 1, "n00007")], df.schema)), lambda: t.update({"name": "same"}, [("id", "<", 3)]), lambda: t.upsert(spark.createDataFrame([(3, 1, "n00007")], df.schema))):
+        with pytest.raises(ValueError, match="stands twice"):
+            change()
+        t.refresh()
+    with pytest.raises(ValueError):
+        t.drop_column("name")
+    t.append(spark.createDataFrame([(900, 1, None), (901, 1, None)], df.schema)).upsert(spark.createDataFrame([(7, 1, "n00007")], df.schema))
+    t.drop_unique(["name"]).append(spark.createDataFrame([(902, 1, "n00007")], df.schema))
+    assert t.scan().count() == 403
+
+
+def test_what_is_said_of_a_table(spark, base):
+    import keystrata
+
+    df, path = base
+    t = KeyTable.load(df, path, ["id", "a"], files=3)
+    seen = maintain.observability(t)
+    assert (seen["files"], seen["rows"], seen["valid"], seen["sorted"], seen["prefix"], seen["in_order"]) == (3, 400, True, True, 3, True)
+    text = t.zone_stats()
+    assert text.startswith("version=2 nentries=3 key=id,a flags=valid,sorted sorted_prefix=3 [0:0..") and " c2:0..6]" in text and keystrata.version().endswith(keystrata.__version__)

@@ -202,3 +202,74 @@ def test_graphs_in_sql(spark, tmp_path):
         for _ in range(2):
             assert near(spark.sql(f"SELECT * FROM hnsw_scan({text}, 64, 5) ORDER BY distance, id").collect()) == near(graph.hnsw_scan(meta, levels, asked, df, ef=64, lim=5).orderBy("rank").collect())
     spark.conf.unset("spark.keystrata.levelCache")
+
+
+def test_kmeans_as_a_plain_one():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 6)).astype(np.float32)
+    c = [list(map(float, v)) for v in x[:7]]
+    for _ in range(4):
+        groups = [[] for _ in c]
+        for v in x.astype(float):
+            groups[min(range(7), key=lambda i: (round(sum((a - b) ** 2 for a, b in zip(v, c[i])), 12), i))].append(v)
+        c = [[float(np.float32(sum(col) / len(g))) for col in zip(*g)] if g else old for g, old in zip(groups, c)]
+    assert np.allclose(quantize.kmeans(x, 7, 4), c, atol=1e-6)
+    few = quantize.kmeans(x[:3], 5, 2)
+    assert few.shape == (5, 6) and np.isfinite(few).all()
+
+
+def test_training_together_and_samples(spark):
+    v, df = fixture(spark)
+    codes = quantize.ann_train(df, "embedding", 4, 2, most=300, residual=True)
+    assert codes.lists.centroids.shape == (4, 8) and codes.books.shape == (2, 256, 4)
+    assert quantize.ann_train(df, "embedding", 4, 2, most=300).lists is None
+    one, two = (quantize.sample(df.repartition(n), "embedding", 50, 3) for n in (1, 7))
+    assert (one == two).all() and len(one) == 50
+    q = ann.sample_queries(df, 20)
+    assert sorted(map(tuple, q.select("query_id").collect())) == sorted(map(tuple, ann.sample_queries(df.repartition(5), 20).select("query_id").collect())) and q.count() == 20
+
+
+def test_beams_find_what_all_distances_do():
+    r = np.random.default_rng(6)
+    u = graph._unit(r.normal(size=(400, 8)))
+    entry, levels = graph.insert_all(u, m=8, ef=60)
+    assert sorted(levels[0]) == list(range(400)) and all(len(n) <= (16 if k == 0 else 8) for k, level in enumerate(levels) for n in level.values())
+    level = graph.Level.of(np.arange(400), u, [levels[0][i] for i in range(400)])
+    hits = looked = 0
+    for q in graph._unit(r.normal(size=(30, 8))):
+        want = np.argsort(1 - u @ q, kind="stable")[:10]
+        got = [i for _, i in graph.beam(level, q, np.array([entry]), 60)]
+        assert got[:10] == sorted(got[:10], key=lambda i: 1 - u[i] @ q)
+        hits += len(set(want.tolist()) & set(got[:10]))
+        short = graph.beam(level, q, np.array([entry]), 60, patience=2)
+        looked += len(short)
+        assert [i for _, i in graph.beam(level, q, np.array([entry]), 400)][:10] == want.tolist()
+    assert hits >= 0.9 * 300 and looked > 0
+
+
+def test_missing_rows_come_last(spark):
+    v, df = fixture(spark)
+    placed = df.withColumnRenamed("embedding", "sketch")
+    meta, nodes = graph.build_hierarchy(placed, m=8, ef=64)
+    asked = spark.createDataFrame([(1, v[6][1])], "query_id long, query array<float>")
+    out = graph.hnsw_scan(meta, nodes, asked, df.filter("id <> 'v007'"), ef=300, lim=300).orderBy("rank").collect()
+    assert out[-1]["id"] == "" and np.isinf(out[-1]["distance"]) and len(out) == 300
+
+
+def test_as_of_joins_over_spans(spark):
+    import datetime as dt
+
+    from keystrata.operators import joins
+
+    r = np.random.default_rng(3)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=int(s))
+    left = [(i, int(r.integers(3)) if i % 9 else None, at(r.integers(5000)) if i % 11 else None) for i in range(200)]
+    right = [(int(r.integers(3)), at(r.integers(0, 5000, 1)[0] // 7 * 7), int(r.integers(100))) for _ in range(80)] + [(None, at(3), 1), (1, None, 2)]
+    a = spark.createDataFrame(left, "n int, k int, t timestamp")
+    b = spark.createDataFrame(right, "k int, seen timestamp, x int")
+    for span in (50, 86_400):
+        for row in joins.as_of(a, b, "k", "t", "seen", span).collect():
+            _, k, t = left[row["n"]]
+            some = [y for y in right if None not in (k, t, y[1]) and y[0] == k and y[1] <= t]
+            want = max(some, key=lambda y: (y[1], y[2])) if some else (None, None, None)
+            assert (row["seen"], row["x"]) == want[1:]
