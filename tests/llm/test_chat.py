@@ -38,3 +38,9 @@ def test_templates_are_checked():
         chat.validated(chat.TEMPLATE | {"ends": ["nowhere"]})
     with pytest.raises(ValueError):
         chat.validated(chat.TEMPLATE | {"roles": {}})
+
+
+def test_long_texts_and_clashing_names(spark):
+    df = spark.createDataFrame([("c", 1, "user", "x" * 3_000_000, "q"), ("c", 2, "assistant", "", "q")], "conv_id string, turn int, role string, text string, ROLE string")
+    out = sorted(chat.segments(df).collect(), key=lambda x: x["segment"])
+    assert [len(x["text"]) for x in out] == [9, 3_000_000 + 8, 14, 8] and {x["conv_id"] for x in out} == {"c"}

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from test_crf import plain as recursion
 
 from keystrata.llm import langid, text as T
 
@@ -49,3 +51,57 @@ def test_no_language_and_no_rows(spark):
     (x,) = langid.word_languages(df, langid.train(df)).collect()
     assert (x["lang"], x["share"], x["n_words"]) == (None, None, 2)
     assert langid.word_languages(df.limit(0), langid.train(df.limit(0))).collect() == []
+
+
+def plain(text, m):
+    """(lang, share, n_words, n_switches, runs) of one text, word by word, with the textbook recursion."""
+    data, words, now = (text or "").encode(), [], b""
+    for b in data + b" ":
+        low = b + 32 if 65 <= b <= 90 else b
+        if 48 <= low <= 57 or 97 <= low <= 122 or low >= 128:
+            now += bytes([low])
+        elif now:
+            words.append(now)
+            now = b""
+    if not words:
+        return None, None, 0, 0, []
+    slot = lambda x, kind: ((x * 0x9E3779B97F4A7C15 + kind * 0xD1B54A32D192ED03) * 0xBF58476D1CE4E5B9 % 2**64) >> 48
+    score = []
+    for w in words:
+        one = T.Words(np.array([0]), np.array([len(w)]), np.array([0]), np.array([0, 1]))
+        rows = [slot(int(T.hashes(np.frombuffer(w, np.uint8), one)[0]), 0)]
+        for i in range(3):
+            rows += [slot(int.from_bytes(w[: min(len(w), i + 1)], "big"), 1 + i), slot(int.from_bytes(w[::-1][: min(len(w), i + 1)], "big"), 4 + i)]
+        rows += [slot(int.from_bytes(w[j : j + 3], "big"), 7) for j in range(len(w) - 2)]
+        score.append(m.weights[rows].astype(np.float64).sum(0))
+    post = recursion(np.array(score), [len(words)], m.trans, m.begin)[0]
+    mean, runs = post.mean(0), []
+    for best in post.argmax(1):
+        if runs and runs[-1][0] == m.languages[best]:
+            runs[-1][1] += 1
+        else:
+            runs.append([m.languages[best], 1])
+    return m.languages[mean.argmax()], mean.max(), len(words), len(runs) - 1, [tuple(x) for x in runs]
+
+
+def test_as_a_plain_version(spark):
+    r = random.Random(8)
+    g = np.random.default_rng(2)
+    texts = [t for t, _ in corpus(r, 6)] + [" ".join(w.decode() for w in langid.splice(g, [[x.encode() for x in words(r, lang, 60)] for lang in PARTS])[0]) for _ in range(6)]
+    texts += [None, "", " \n", "a", "É é ü", "A1-b2_C3", "x" * 5000 + " ka lo"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    m = langid.fit(*map(list, zip(*corpus(random.Random(3), 8))))
+    for x in langid.word_languages(df, m).collect():
+        lang, share, n, switches, runs = plain(texts[x["doc_id"]], m)
+        assert (x["lang"], x["n_words"], x["n_switches"], [tuple(y) for y in x["runs"]]) == (lang, n, switches, runs)
+        assert x["share"] is None if share is None else x["share"] == pytest.approx(share, abs=1e-9)
+
+
+def test_ties_long_texts_and_clashing_names(spark):
+    even = langid.Model(["aa", "bb"], np.zeros((langid.TABLE, 2), np.float32), np.zeros((2, 2)), np.zeros(2))
+    df = spark.createDataFrame([(1, "one two " * 300_000, "x", "q")], "doc_id long, text string, TEXT string, lang string")
+    (x,) = langid.word_languages(df, even).collect()
+    assert (x["lang"], x["share"], x["n_words"], x["n_switches"]) == ("aa", 0.5, 600_000, 0)  # the first by name
+    assert langid.train(df).languages == ["q"]
+    with pytest.raises(TypeError):
+        langid.word_languages(spark.createDataFrame([("a", "b")], "doc_id string, text string"), even)

@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from keystrata.llm import mixing
 
 
@@ -36,3 +38,15 @@ def test_empty_table_repeats_and_one_row(spark):
     assert [r[0] for r in mixing.mix(table(spark, [(None, None, None, None, -5, 1, "z")])).collect()] == [None]
     df = table(spark, [(1, "t", "en", "s", 3, 1, "z")] * 6)
     assert {x["copies"] for x in mixing.sample(df).collect()} == {1}
+
+
+def test_ties_long_texts_and_clashing_names(spark):
+    rows = [(1 + i // 3, "t" * (2_000_000 if i == 5 else 1), "s", 9, "x", 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, n_chars int, SOURCE string, id int")
+    out = mixing.mix(df, rate=0.5)
+    assert out.columns == df.columns
+    got = Counter(x[0] for x in out.collect())
+    # rows of one doc_id share a random number: they are drawn together
+    assert set(got.values()) == {3} and 6 <= sum(got.values()) <= 8
+    with pytest.raises(TypeError):
+        mixing.sample(spark.createDataFrame([("a", "t", "s", 1)], "doc_id string, text string, source string, n_chars int"))

@@ -1,7 +1,10 @@
+import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from test_crf import plain as recursion
 
 from keystrata.llm import quality, text as T
 
@@ -60,3 +63,51 @@ def test_very_long_text_and_many_lines():
     (c,) = T.chunks(pa.array(["word " * 300_000 + "\n" * 5 + "x\n" * 20_000]))
     q, n, bad = quality.judge(c, m)
     assert n[0] == 20_001 and 0 <= q[0] <= 1
+
+
+def plain(text, m):
+    """(quality, lines, bad lines) of one text, line by line, with the textbook recursion."""
+    own, sizes, before = [], [], set()
+    stops, others = b".,;:?'\"-()", b"!#$%&*+/<=>@[\\]^_`{}~"
+    for line in (text or "").encode().split(b"\n"):
+        words = line.split()
+        if not words:
+            continue
+        span, n = line.strip(), len(words)
+        low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+        count = lambda f: sum(map(f, span)) / len(span)  # noqa: E731, B023
+        own.append([math.log1p(len(span)) / 5, count(lambda b: 65 <= b <= 90), 4 * count(lambda b: 48 <= b <= 57), 4 * count(lambda b: b in stops), 4 * count(lambda b: b == 124), 4 * count(lambda b: b in others),
+            count(lambda b: b >= 128), len(span) / n / 10, 2 * sum(a == b for a, b in zip(low, low[1:])) / n, 2 * (n - len(set(low))) / n, math.log1p(n) / 4, float(tuple(low) in before), 1.0])
+        before.add(tuple(low))
+        sizes.append(len(span))
+    if not own:
+        return 0.0, 0, 0
+    none = [0.0] * 13
+    x = np.array([a + b + c + [min(size / 2000, 3)] for a, b, c, size in zip(own, [none, *own], [*own[1:], none], sizes)])
+    good = x @ m.weights
+    post = recursion(np.stack((-good / 2, good / 2), 1), [len(own)], m.trans, m.begin)[0][:, 1]
+    return float((post * sizes).sum() / sum(sizes)), len(own), int((post < 0.5).sum())
+
+
+def odd_texts():
+    return [None, "", " \n\t", "one", "a a a b\nA A A B\n\n  x | y | z  \n12 34!!", "é ü\nÉ ü", "no end.\n" * 40, "tabs\tand\x0bmore\r\nlines (here) \"quoted\"", "w " * 3000]
+
+
+def test_as_a_plain_version(spark, labelled):
+    m = quality.fit(*map(list, zip(*labelled[:60] + labelled[150:180])))
+    texts = [t for t, _ in labelled[:25] + labelled[-25:]] + odd_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = quality.document_quality(df, m).collect()
+    assert len(out) == len(texts)
+    for x in out:
+        q, n, bad = plain(texts[x["doc_id"]], m)
+        assert (x["n_lines"], x["n_bad_lines"], x["keep"]) == (n, bad, n > 0 and q >= quality.KEEP) and x["quality"] == pytest.approx(q, abs=1e-9)
+
+
+def test_clashing_names(spark, labelled):
+    df = spark.createDataFrame([(i, t, "x", 0.5) for i, (t, _) in enumerate(labelled)], "doc_id int, text string, TEXT string, QUALITY double")
+    labels = spark.createDataFrame([(i, y, 7) for i, (_, y) in enumerate(labelled)], "doc_id int, quality int, Quality int")
+    m = quality.train(df, labels)
+    assert quality.drop_bad_documents(df, m).columns == df.columns and quality.document_quality(df, m).count() == len(labelled)
+    with pytest.raises(TypeError):
+        quality.document_quality(spark.createDataFrame([("a", "b")], "doc_id string, text string"), m)
