@@ -17,8 +17,8 @@ and each pair of blocks is a piece of work of its own. What is known of a bucket
 it has) is aggregated where the texts lie, and joined back where it must be, so no task holds a bucket or the copies of a text.
 
 Words are runs of letters and digits (all bytes beyond ASCII count as letters). A text of one word is that word; null texts
-and texts without words are in no group. Rows without a doc_id are in no group. Rows that share a doc_id are one document:
-they stay or go together, but of rows with the same text too one stays. Other columns aren't read. An empty table gives an
+and texts without words are in no group. Rows without a doc_id are in no group. For near_duplicates() rows that share a doc_id
+are one document; drop_near_duplicates() judges those with different texts apart, and keeps one of those with the same. Other columns aren't read. An empty table gives an
 empty result. Ids that aren't integers are an error.
 """
 
@@ -295,7 +295,23 @@ def _one_of_repeats(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR) -> DataFrame:
-    """docs, in the same columns, with one document of each group, and one row of those that share doc_id and text."""
-    gone = near_duplicates(docs, bands, rows, similar).select(F.col("doc_id").alias("gone"))
-    plain, (doc_id,) = common.numbered(_one_of_repeats(docs), "doc_id")
-    return plain.join(gone, F.col(doc_id).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
+    """docs, in the same columns, with one document of each group, and one row of those that share doc_id and text.
+
+    Rows that share a doc_id but not the text are judged apart, in the order of their texts' hashes.
+    """
+    spark, made = docs.sparkSession, []
+    plain, (doc_id, text) = common.numbered(_one_of_repeats(docs), "doc_id", "text")
+    there = F.col(doc_id).isNotNull() & F.col(text).isNotNull()
+    named = plain.filter(there).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    several = named.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").limit(1)
+    if several.isEmpty():
+        gone = near_duplicates(docs, bands, rows, similar).select(F.col("doc_id").alias("gone"))
+        return plain.join(gone, F.col(doc_id).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # numbers in the order of ids and hashes
+    ranked = named.repartitionByRange(n, "id", "key").sortWithinPartitions("id", "key").withColumn("number", F.monotonically_increasing_id())
+    ranked = common.cut(ranked, made)
+    found = near_duplicates(ranked.select(F.col("number").alias("doc_id"), "text"), bands, rows, similar).select(F.col("doc_id").alias("number"))
+    gone = common.cut(ranked.join(found, "number", "left_semi").select("id", "key"))
+    common.discard(spark, made)
+    return plain.join(gone, there & (F.col(doc_id).cast("long") == F.col("id")) & (F.xxhash64(text) == F.col("key")), "left_anti").toDF(*docs.columns)

@@ -116,7 +116,8 @@ def test_empty_table_and_clashing_names(spark):
     assert minhash.near_duplicates(df).collect() == []
     df = spark.createDataFrame([(1, "a b c", 1, 2), (2, "a b c", 3, 4), (2, "x y z", 3, 4)], "doc_id int, text string, lead int, `gone.x` int")
     out = minhash.drop_near_duplicates(df)
-    assert out.columns == df.columns and [x[0] for x in out.collect()] == [1]  # rows that share an id go together
+    # rows that share an id but not the text are judged apart
+    assert out.columns == df.columns and sorted(tuple(x)[:2] for x in out.collect()) == [(1, "a b c"), (2, "x y z")]
 
 
 def test_one_row_of_full_repeats_stays(spark):
@@ -167,3 +168,10 @@ def test_very_long_texts_and_ids(spark):
         minhash.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
     odd = spark.createDataFrame([(1, "a b c", "x"), (2, "a b c", "y")], "doc_id int, text string, TEXT string")
     assert [tuple(x) for x in minhash.drop_near_duplicates(odd).collect()] == [(1, "a b c", "x")]
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    rows = [(5, "a b c d"), (5, "e f g h"), (5, "e f g h"), (7, "a b c d"), (7, "i j k l"), (2, "i j k l"), (9, None), (9, "m n o p"), (None, "a b c d"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(map(tuple, minhash.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, "a b c d"), (5, "e f g h"), (2, "i j k l"), (9, None), (9, "m n o p"), (None, "a b c d"), (9, "")], key=str)
