@@ -5,10 +5,10 @@ rereads it as the next stage's docs, and deletes the table before that. All but
 last adds tokens and n_tokens.
 
 Null and empty texts, and texts without words, are rejected by the first stage. Rows that repeat both doc_id and text are one
-document, of which one row stays; rows that share a doc_id only are kept or dropped as near duplicates together. Rows without
-a doc_id stay, if their text is good: they are no near duplicate of another and their passages are no copies. Ties go to the
-least doc_id. Further columns of documents are kept and never matter, but tokens and n_tokens, which the last stage replaces.
-Empty tables give empty results; without labels no document is rejected but those without words. Texts are whole, however long.
+document, of which one row stays; rows that share a doc_id only are judged apart. Rows without a doc_id stay, if their text is
+good: they are no near duplicate of another and their passages are no copies. Ties go to the least doc_id. Further columns of
+documents are kept and never matter, but tokens and n_tokens, which the last stage replaces. Empty tables give empty results;
+without labels no document is rejected but those without words. Texts are whole, however long.
 """
 
 from __future__ import annotations
