@@ -506,7 +506,9 @@ class KeyTable:
                 dead.select(*keys, *(F.lit(None).cast(types[c]).alias(c) for c in rest), F.lit(True).alias("__gone")).write.mode("append").parquet(staged)
             every = self.spark.read.schema(df.withColumn("__gone", F.lit(False)).schema).parquet(staged)
             df = every.filter("NOT __gone").drop("__gone")
-            self._unique(df)
+            bad = df.filter(" OR ".join(f"`{k}` IS NULL" for k in keys)).limit(1).collect()
+            if bad:
+                raise ValueError(f"the key ({', '.join(keys)}) is null: {bad[0].asDict()}")
             if gone is not None:
                 dead = every.filter("__gone").select(*keys).join(df.select(*keys), keys, "left_anti")
             touched = every.select(*keys).distinct()
