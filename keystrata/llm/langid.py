@@ -28,6 +28,8 @@ from keystrata.llm import common, crf, text as T
 
 #: Most texts of a language that the field is trained on.
 SAMPLE = 100
+#: Most languages of a field, whose weights every task holds; more are an error.
+LANGUAGES = 256
 #: Rows of the table of weights.
 TABLE = 1 << 16
 PASSES = 3
@@ -148,6 +150,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     common.integers(docs, "doc_id")
     d = common.narrow(docs, doc_id="doc_id", text="text", lang="lang")
     ids = d.select(F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("name")).filter("id IS NOT NULL AND name IS NOT NULL").distinct()
+    if ids.select("name").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
     # of each language the least ids, by way of the least of each of many parts, so that no task sorts a language
     rank = F.row_number().over(Window.partitionBy("name", "part").orderBy("u", "id"))
     ids = ids.withColumn("u", common.unit(1, "id")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(256)))

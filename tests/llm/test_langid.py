@@ -105,3 +105,9 @@ def test_ties_long_texts_and_clashing_names(spark):
     assert langid.train(df).languages == ["q"]
     with pytest.raises(TypeError):
         langid.word_languages(spark.createDataFrame([("a", "b")], "doc_id string, text string"), even)
+
+
+def test_languages_are_bounded(spark):
+    df = spark.range(langid.LANGUAGES + 1).selectExpr("id AS doc_id", "'a b' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="256"):
+        langid.train(df)
