@@ -30,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Where tables of intermediate results go: spark.checkpoint.dir; a local folder only where that is unset and the session is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="keystrata-")
         spark.conf.set("spark.checkpoint.dir", named)

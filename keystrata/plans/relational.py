@@ -65,6 +65,17 @@ def agg_basic(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*aggs)
 
 
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, quantile_disc(l_extendedprice, 0.5) AS middle, TRUE AS parts_near, TRUE AS middle_near FROM lineitem GROUP BY l_returnflag")
+def agg_approx(spark, sf_dir):
+    """Sketches against what they estimate: distinct values within a tenth, the rank of the median within a hundredth."""
+    l = read(spark, sf_dir, "lineitem")
+    both = l.groupBy("l_returnflag").agg(
+        F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("about"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("middle"), F.percentile_approx("l_extendedprice", [0.49, 0.51], 10_000).alias("near"),
+    )
+    return both.select("l_returnflag", "parts", "middle", (F.abs(F.col("about") - F.col("parts")) <= F.col("parts") * 0.1).alias("parts_near"), F.col("middle").between(F.col("near")[0], F.col("near")[1]).alias("middle_near"))
+
+
 @query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderdate, o_orderkey)[2:4], ',') AS some FROM orders GROUP BY o_custkey")
 def agg_array_slice(spark, sf_dir):
     got = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
