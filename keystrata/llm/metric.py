@@ -10,6 +10,7 @@ the level above. Visitors form such a tree too, some thousand at a time, and pai
 pair is left when the distance of its centres exceeds the threshold and both covering radii, and counted as a whole when
 even with both radii it is within the threshold. Each pair of shards meets in one of the two, half of them in either. Pairs
 are counted where they are found, and only each vector's number of links and one link towards its class leave the task.
+Equal vectors are one beforehand, that of the least id, which counts as many times.
 
 neighbours: each shard's vectors are a vantage-point tree, walked from its root; a branch is left when its lower bound, times
 factor, exceeds the distance of the query's k-th neighbour so far. Factor one is exact; more is faster and may miss some.
@@ -94,9 +95,10 @@ class Space(NamedTuple):
 class Cells(NamedTuple):
     """Each vector with its dimension, cell and shard, as a table; what is known of each dimension; how many shards there are."""
 
-    homes: DataFrame  # id, v, dim, cell, shard
+    homes: DataFrame  # id, v, dim, n, cell, shard
     spaces: dict[int, Space]
     shards: int
+    members: DataFrame  # id and two hashes of v, of all vectors
 
 
 def _raw(wide: bool):
@@ -119,8 +121,12 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(ranked[a]), order[a:b]
 
 
-def cells(df: DataFrame, id_column: str, vector: str, cell: int, made: list[str]) -> tuple[Cells, bool] | None:
-    """The vectors in cells, and whether they are of 64 bits; None if there are none. made gets the paths of the tables."""
+def _hashed(d: DataFrame) -> DataFrame:
+    return d.withColumns({"x": F.xxhash64("v"), "y": F.xxhash64(F.lit(1), "v")})
+
+
+def cells(df: DataFrame, id_column: str, vector: str, cell: int, made: list[str], once: bool = False) -> tuple[Cells, bool] | None:
+    """The vectors in cells, and whether they are of 64 bits; None if there are none. once: of equal ones the one of the least id, n of them. made gets the paths of the tables."""
     common.integers(df, id_column)
     spark = df.sparkSession
     kind = df.schema.fields[common.place(df, vector)].dataType
@@ -139,6 +145,8 @@ def cells(df: DataFrame, id_column: str, vector: str, cell: int, made: list[str]
                 yield pa.RecordBatch.from_arrays([batch["id"], v, pa.array(np.diff(at).astype(np.int32))], ["id", "v", "dim"])
 
     d = common.cut(d.mapInArrow(pack, "id long, v binary, dim int"), made)
+    members = _hashed(d).select("id", "x", "y")
+    d = common.cut(d.groupBy("v", "dim").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", "dim", "n"), made) if once else d.withColumn("n", F.lit(1).cast("long"))
     d = d.withColumn("u", common.unit(7, "id"))
     dims = d.groupBy("dim").agg(F.count("*").alias("n"), F.min_by("v", F.struct("u", "id")).alias("v")).collect()  # a row for each dimension
     if not dims:
@@ -165,9 +173,9 @@ def cells(df: DataFrame, id_column: str, vector: str, cell: int, made: list[str]
                     cosine = _of(batch["v"].take(pa.array(part)), wide) @ p.T
                     home[part], far[part] = cosine.argmax(1), _distance(cosine.max(1))
             if len(batch):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(far)], ["id", "v", "dim", "cell", "far"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(far)], ["id", "v", "dim", "n", "cell", "far"])
 
-    homes = common.cut(d.mapInArrow(assign, "id long, v binary, dim int, cell int, far double"), made)
+    homes = common.cut(d.mapInArrow(assign, "id long, v binary, dim int, n long, cell int, far double"), made)
     spaces, shards = {}, 0
     known = homes.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()  # a row for each pivot
     for dim, p in pivots.items():
@@ -180,8 +188,8 @@ def cells(df: DataFrame, id_column: str, vector: str, cell: int, made: list[str]
         shards += int(parts.sum())
     table = spark.createDataFrame([(dim, c, int(a), int(n)) for dim, s in spaces.items() for c, (a, n) in enumerate(zip(s.first, s.parts))], "dim int, cell int, first int, parts int")
     homes = homes.drop("far").join(F.broadcast(table), ["dim", "cell"])  # a row for each pivot
-    homes = homes.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")).select("id", "v", "dim", "cell", "shard")
-    return Cells(homes, spaces, shards), wide
+    homes = homes.withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")).select("id", "v", "dim", "n", "cell", "shard")
+    return Cells(homes, spaces, shards, members), wide
 
 
 class Held(NamedTuple):
@@ -277,11 +285,12 @@ def cover_tree(v: np.ndarray, members: np.ndarray | None = None, centre: int = 0
 
 
 class Links:
-    """Links among the vectors of one shard and a block of its visitors: each one's number, and a forest that joins what is linked."""
+    """Links among the vectors of one shard and a block of its visitors: each one's number, and a forest that joins what is linked. times: for how many a vector stands."""
 
-    def __init__(self, n: int):
-        self.count = np.zeros(n, np.int64)
-        self.root = np.arange(n)
+    def __init__(self, times: np.ndarray):
+        self.times = times
+        self.count = np.zeros(len(times), np.int64)
+        self.root = np.arange(len(times))
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         root = self.root
@@ -302,17 +311,17 @@ class Links:
         """These are linked; no pair comes twice."""
         if len(i):
             n = len(self.count)
-            self.count += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            self.count += (np.bincount(i, self.times[j], n) + np.bincount(j, self.times[i], n)).astype(np.int64)
             self.join(i, j)
 
     def whole(self, a: np.ndarray, b: np.ndarray | None = None) -> None:
         """All of a are linked with all of b, or among themselves."""
         if b is None:
-            self.count[a] += len(a) - 1
+            self.count[a] += self.times[a].sum() - self.times[a]
             self.join(a[1:], np.full(len(a) - 1, a[0]))
         else:
-            self.count[a] += len(b)
-            self.count[b] += len(a)
+            self.count[a] += self.times[b].sum()
+            self.count[b] += self.times[a].sum()
             every = np.concatenate((a, b))
             self.join(every[1:], np.full(len(every) - 1, every[0]))
 
@@ -370,12 +379,13 @@ def dual(a: Node, b: Node, v: np.ndarray, low: np.ndarray, similar: float, links
                 todo += [(a.wide[i], b.wide[j]) for i, j in zip(*(k.tolist() for k in np.nonzero(d <= far + a.radii[:, None] + b.radii)))]
 
 
-def _visit(spaces, wide: bool, limit, choose):
-    """A map over vectors to the shards, not their own, whose cells may hold any within their limit; choose says which of both shards."""
+def _visit(spaces, wide: bool, limit, choose, carried=None):
+    """A map over vectors to the shards, not their own, whose cells may hold any within their limit; choose says which of both shards. What is carried is in bound, the limit by default."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             home, shard, bound = batch["cell"].to_numpy(), batch["shard"].to_numpy(), limit(batch)
+            carry = bound if carried is None else batch[carried].to_numpy().astype(float)
             for dim, every in _groups(batch["dim"].to_numpy()):
                 s: Space = spaces.value[dim]
                 number, of = s.shards()
@@ -385,23 +395,23 @@ def _visit(spaces, wide: bool, limit, choose):
                     low = s.bounds(_of(batch["v"].take(pa.array(rows)), wide), home[rows])
                     row, to = np.nonzero((low[:, of] <= bound[rows][:, None]) & choose(shard[rows][:, None], number))
                     at = pa.array(rows[row])
-                    yield pa.RecordBatch.from_arrays([pa.array(number[to].astype(np.int32)), pa.array(np.ones(len(to), bool)), batch["id"].take(at), pa.array(bound[rows[row]]), batch["v"].take(at)], ["shard", "visitor", "id", "bound", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[to].astype(np.int32)), pa.array(np.ones(len(to), bool)), batch["id"].take(at), pa.array(carry[rows[row]]), batch["v"].take(at)], ["shard", "visitor", "id", "bound", "v"])
 
     return run
 
 
 def _residents(homes: DataFrame) -> DataFrame:
-    return homes.select("shard", F.lit(False).alias("visitor"), "id", F.lit(0.0).alias("bound"), "v")
+    return homes.select("shard", F.lit(False).alias("visitor"), "id", F.col("n").cast("double").alias("bound"), "v")
 
 
 def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", similar: float = SIMILAR, cell: int = CELL) -> DataFrame:
     """(vec_id, class_id, links) of each vector: with how many others it has a cosine of at least similar, and the least id that such links lead to."""
     spark, made = df.sparkSession, []
-    found = cells(df, id_column, vector, cell, made)
+    found = cells(df, id_column, vector, cell, made, True)
     if found is None:
         common.discard(spark, made)
         return spark.createDataFrame([], "vec_id long, class_id long, links long")
-    (homes, spaces, shards), wide = found
+    (homes, spaces, shards, members), wide = found
     reach = float(_distance(np.array(similar))) + SLACK
     shared = spark.sparkContext.broadcast(spaces)
 
@@ -415,11 +425,11 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
             if not visits:
                 here, at = h, shard
                 n, low = len(h.ids), h.v.astype(np.float32)
-                tree, total = cover_tree(h.v, reach=reach), Links(n)
+                tree, total = cover_tree(h.v, reach=reach), Links(h.bound.astype(np.int64))
                 dual(tree, tree, h.v, low, similar, total)
             elif here is not None and at == shard:
                 both = np.concatenate((here.v, h.v))
-                links = Links(len(both))
+                links = Links(np.concatenate((here.bound, h.bound)).astype(np.int64))
                 links.root[:n] = total.root
                 other = cover_tree(both, np.arange(n, len(both)), n, reach=reach)
                 dual(tree, other, both, np.concatenate((low, h.v.astype(np.float32))), similar, links)
@@ -432,13 +442,15 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
             yield out(here.ids, total, np.arange(n))
 
     # of two shards the one with the lesser number is visited if the numbers' sum is odd, else the other
-    visit = _visit(shared, wide, lambda batch: np.full(len(batch), reach), lambda own, to: (own != to) & ((own > to) == ((own + to) % 2 == 1)))
+    visit = _visit(shared, wide, lambda batch: np.full(len(batch), reach), lambda own, to: (own != to) & ((own > to) == ((own + to) % 2 == 1)), "n")
     visits = _residents(homes).union(homes.mapInArrow(visit, VISITS))
     some = common.cut(_parted(visits, shards).mapInArrow(join, "id long, links long, other long"), made)
-    classes = components(some.select("id", "other"), made).select(F.col("id").alias("vec_id"), F.col("least").alias("class_id"))
-    links = some.groupBy(F.col("id").alias("vec_id")).agg(F.sum("links").alias("links"))
-    every = homes.select(F.col("id").alias("vec_id")).join(links, "vec_id", "left").join(classes, "vec_id", "left")
-    result = common.cut(every.select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")))
+    classes = components(some.select("id", "other"), made).select(F.col("id").alias("c"), F.col("least").alias("class_id"))
+    links = some.groupBy(F.col("id").alias("l")).agg(F.sum("links").alias("links"))
+    first = _hashed(homes.select("id", "v", "n")).select(F.col("id").alias("first"), "n", "x", "y")
+    first = first.join(links, F.col("first") == F.col("l"), "left").join(classes, F.col("first") == F.col("c"), "left")
+    first = first.select("x", "y", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    result = common.cut(members.join(first, ["x", "y"]).select(F.col("id").alias("vec_id"), "class_id", "links"))
     common.discard(spark, made)
     return result
 
@@ -511,7 +523,7 @@ def neighbours(df: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
     if found is None:
         common.discard(spark, made)
         return spark.createDataFrame([], "id long, rank long, neighbour long, cosine double")
-    (homes, spaces, shards), wide = found
+    (homes, spaces, shards, _), wide = found
     shared = spark.sparkContext.broadcast(spaces)
     queries = homes.filter(F.pmod("id", F.lit(every)) == 0)
 

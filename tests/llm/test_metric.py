@@ -63,6 +63,19 @@ def test_one_group_holds_most(spark):
     assert found(spark.createDataFrame(data, "vec_id long, embedding array<double>"), cell=50) == want
 
 
+def test_copies_are_one(spark, monkeypatch):
+    """A third of all rows being one vector, no task holds or compares them."""
+    r = np.random.default_rng(7)
+    one = r.normal(size=8)
+    v = np.concatenate((np.repeat(one[None], 3000, 0), one + r.normal(size=(50, 8)) * 0.05, r.normal(size=(950, 8))))
+    data = [(i, x.tolist()) for i, x in enumerate(v[r.permutation(len(v))])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    made = []
+    cells, _ = metric.cells(df, "vec_id", "embedding", 100, made, True)
+    assert cells.homes.count() == 1001 and cells.homes.agg({"n": "max"}).first()[0] == 3000
+    assert found(df, cell=100) == links(data, 0.95)
+
+
 def test_shards_are_bounded(spark):
     data = [(i, [1.0, 1e-3 * (i % 7)]) for i in range(3000)]
     made = []
