@@ -426,7 +426,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, long: int = LONG) -> DataFra
     """(doc_id, tokens, n_tokens, round_trip) of each row of docs; round_trip says whether decoding gave the text again."""
     common.integers(docs, "doc_id")
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(_encoded(docs.sparkSession, path, "text", False, long), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
+    return d.mapInArrow(common.lean(_encoded(docs.sparkSession, path, "text", False, long)), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, long: int = LONG) -> DataFrame:
@@ -434,7 +434,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, long: int = LONG)
     docs = common.without(docs, "tokens", "n_tokens")
     plain, (text,) = common.numbered(docs, "text")
     schema = StructType([*plain.schema.fields, StructField("tokens", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
-    return plain.mapInArrow(_encoded(docs.sparkSession, path, text, True, long), schema).toDF(*docs.columns, "tokens", "n_tokens")
+    return plain.mapInArrow(common.lean(_encoded(docs.sparkSession, path, text, True, long)), schema).toDF(*docs.columns, "tokens", "n_tokens")
 
 
 def decode(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -449,4 +449,4 @@ def decode(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
             out = [None if t is None else v.decode(np.array(t, np.int64)).tobytes().decode("utf-8", "replace") for t in batch[tokens].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
 
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("decoded", StringType())])).toDF(*df.columns, "decoded")
+    return plain.mapInArrow(common.lean(run), StructType([*plain.schema.fields, StructField("decoded", StringType())])).toDF(*df.columns, "decoded")

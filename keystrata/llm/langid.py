@@ -205,4 +205,4 @@ def word_languages(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(run, "doc_id long, lang string, share double, n_words long, n_switches long, runs array<struct<lang:string,n_words:long>>")
+    return d.mapInArrow(common.lean(run), "doc_id long, lang string, share double, n_words long, n_switches long, runs array<struct<lang:string,n_words:long>>")

@@ -144,7 +144,7 @@ def cells(df: DataFrame, id_column: str, vector: str, cell: int, made: list[str]
                 v = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([batch["id"], v, pa.array(np.diff(at).astype(np.int32))], ["id", "v", "dim"])
 
-    d = common.cut(d.mapInArrow(pack, "id long, v binary, dim int"), made)
+    d = common.cut(d.mapInArrow(common.lean(pack), "id long, v binary, dim int"), made)
     members = _hashed(d).select("id", "x", "y")
     d = common.cut(d.groupBy("v", "dim").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "v", "dim", "n"), made) if once else d.withColumn("n", F.lit(1).cast("long"))
     d = d.withColumn("u", common.unit(7, "id"))
@@ -175,7 +175,7 @@ def cells(df: DataFrame, id_column: str, vector: str, cell: int, made: list[str]
             if len(batch):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(far)], ["id", "v", "dim", "n", "cell", "far"])
 
-    homes = common.cut(d.mapInArrow(assign, "id long, v binary, dim int, n long, cell int, far double"), made)
+    homes = common.cut(d.mapInArrow(common.lean(assign), "id long, v binary, dim int, n long, cell int, far double"), made)
     spaces, shards = {}, 0
     known = homes.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()  # a row for each pivot
     for dim, p in pivots.items():
@@ -443,8 +443,8 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
 
     # of two shards the one with the lesser number is visited if the numbers' sum is odd, else the other
     visit = _visit(shared, wide, lambda batch: np.full(len(batch), reach), lambda own, to: (own != to) & ((own > to) == ((own + to) % 2 == 1)), "n")
-    visits = _residents(homes).union(homes.mapInArrow(visit, VISITS))
-    some = common.cut(_parted(visits, shards).mapInArrow(join, "id long, links long, other long"), made)
+    visits = _residents(homes).union(homes.mapInArrow(common.lean(visit), VISITS))
+    some = common.cut(_parted(visits, shards).mapInArrow(common.lean(join), "id long, links long, other long"), made)
     classes = components(some.select("id", "other"), made).select(F.col("id").alias("c"), F.col("least").alias("class_id"))
     links = some.groupBy(F.col("id").alias("l")).agg(F.sum("links").alias("links"))
     first = _hashed(homes.select("id", "v", "n")).select(F.col("id").alias("first"), "n", "x", "y")
@@ -538,7 +538,7 @@ def neighbours(df: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
                 yield pa.RecordBatch.from_arrays([pa.array(h.ids[i]), pa.array(who[i, j]), pa.array(best[i, j])], ["id", "neighbour", "cosine"])
 
     def sought(visits: DataFrame) -> DataFrame:
-        return common.cut(_parted(_residents(homes).union(visits), shards).mapInArrow(seek, "id long, neighbour long, cosine double"), made)
+        return common.cut(_parted(_residents(homes).union(visits), shards).mapInArrow(common.lean(seek), "id long, neighbour long, cosine double"), made)
 
     # at home first, which bounds how far to look elsewhere
     first = sought(queries.select("shard", F.lit(True).alias("visitor"), "id", F.lit(float("inf")).alias("bound"), "v"))
@@ -550,7 +550,7 @@ def neighbours(df: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
             worst = batch["worst"].to_numpy(zero_copy_only=False)
             return np.where(np.isnan(worst), np.inf, _distance(np.nan_to_num(worst)) / factor + SLACK)
 
-        away = queries.join(tau, "id", "left").mapInArrow(_visit(shared, wide, limit, lambda own, to: own != to), VISITS)
+        away = queries.join(tau, "id", "left").mapInArrow(common.lean(_visit(shared, wide, limit, lambda own, to: own != to)), VISITS)
         # the search takes the bound of the k-th neighbour itself
         away = away.withColumn("bound", F.col("bound") * factor)
         every_one = first.union(sought(away))

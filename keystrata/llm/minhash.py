@@ -239,7 +239,7 @@ def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar
     spark, k = docs.sparkSession, bands * rows
     common.integers(docs, "doc_id")
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    signed = common.cut(d.mapInArrow(_sign(bands, rows), "doc_id long, sig binary, bands array<long>"), made)
+    signed = common.cut(d.mapInArrow(common.lean(_sign(bands, rows)), "doc_id long, sig binary, bands array<long>"), made)
     # texts of one signature, by 128 bits of it
     key = [F.xxhash64("sig", "bands").alias("x"), F.xxhash64("bands", "sig").alias("y")]
     named = signed.select("doc_id", *key)
@@ -248,7 +248,7 @@ def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar
     signed = signed.select("*", *key).join(same.select("doc_id", "x", "y").distinct(), ["doc_id", "x", "y"], "left_anti").select("doc_id", "sig", "bands")
     signed = common.cut(signed, made)
     sig = signed.select("doc_id", "sig")
-    local = signed.select("doc_id", "bands").mapInArrow(_local, "bucket long, doc_id long, lead long")
+    local = signed.select("doc_id", "bands").mapInArrow(common.lean(_local), "bucket long, doc_id long, lead long")
     followers = local.filter("doc_id <> lead")
     # one text of a bucket from each batch
     w = Window.partitionBy("bucket")
@@ -265,7 +265,7 @@ def similar_pairs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, similar
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rest = rest.select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "doc_id", "label").join(sig, "doc_id")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "block", "doc_id").mapInArrow(_rest(k, similar), "doc_id long, lead long")
+    rest = rest.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "block", "doc_id").mapInArrow(common.lean(_rest(k, similar)), "doc_id long, lead long")
     return same.select("doc_id", "lead").union(good).union(rest)
 
 

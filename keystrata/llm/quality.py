@@ -169,7 +169,7 @@ def document_quality(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.first, len(c)), pa.array(q), pa.array(n), pa.array(bad), pa.array((n > 0) & (q >= KEEP))], ["doc_id", "quality", "n_lines", "n_bad_lines", "keep"])
 
     d = common.narrow(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(run, "doc_id long, quality double, n_lines long, n_bad_lines long, keep boolean")
+    return d.mapInArrow(common.lean(run), "doc_id long, quality double, n_lines long, n_bad_lines long, keep boolean")
 
 
 def drop_bad_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,4 +182,4 @@ def drop_bad_documents(docs: DataFrame, model: Model) -> DataFrame:
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(common.lean(run), plain.schema).toDF(*docs.columns)

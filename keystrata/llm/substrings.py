@@ -252,7 +252,7 @@ def _count(k: int, enough: int = 20_000):
 
 def _hot_runs(d: DataFrame, k: int, m: int, hot: np.ndarray) -> DataFrame:
     """RUNS of one window each, of the hot buckets."""
-    windows = common.cut(d.mapInArrow(_hot_windows(k, m, hot), WINDOWS))
+    windows = common.cut(d.mapInArrow(common.lean(_hot_windows(k, m, hot)), WINDOWS))
     counted = windows.groupBy("x", "y").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "start")).alias("least")).filter("copies > 1")
     first = F.struct("doc_id", "key", "start") == F.col("least")
     return windows.join(counted, ["x", "y"]).select("doc_id", "key", F.col("start").alias("a"), (F.col("start") + 1).alias("b"), first.alias("first"), "copies")
@@ -264,9 +264,9 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) ->
     d = common.narrow(docs, doc_id="doc_id", text="text")
     d = d.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    large = d.select("text").mapInArrow(_sizes(k, m), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
+    large = d.select("text").mapInArrow(common.lean(_sizes(k, m)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
     hottest = np.array([r["bucket"] for r in large.collect()], np.int64).view(T.U)  # one for each hot strings at most
-    runs = d.mapInArrow(_extract(k, m, hottest), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), RUNS)
+    runs = d.mapInArrow(common.lean(_extract(k, m, hottest)), PACKED).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(_count(k)), RUNS)
     if len(hottest):
         runs = runs.union(_hot_runs(d, k, m, hottest))
     w = Window.partitionBy("doc_id", "key").orderBy("a", "first")
@@ -321,7 +321,7 @@ def drop_later_copies(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT) -
     later = later.select(F.col("doc_id").alias("id"), "key", "runs")
     plain, (doc_id, text) = common.numbered(docs, "doc_id", "text")
     both = plain.join(later, (F.col(doc_id).cast("long") == F.col("id")) & (F.xxhash64(text) == F.col("key")), "left").drop("id", "key")
-    kept = both.mapInArrow(_cut_text(k, text), StructType([*plain.schema.fields, StructField("emptied", BooleanType())])).filter(~F.col("emptied")).drop("emptied")
+    kept = both.mapInArrow(common.lean(_cut_text(k, text)), StructType([*plain.schema.fields, StructField("emptied", BooleanType())])).filter(~F.col("emptied")).drop("emptied")
     if "n_chars" in docs.columns:
         (n_chars,) = common.numbered(docs, "n_chars")[1]
         kept = kept.withColumn(n_chars, F.length(text).cast(docs.schema["n_chars"].dataType))
