@@ -296,6 +296,9 @@ class KeyTable:
             at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
             ranges = []
             for k in keys:
+                if k not in at:  # a file from before the column
+                    ranges.append([None, None])
+                    continue
                 stats = [meta.row_group(g).column(at[k]).statistics for g in range(meta.num_row_groups)]
                 if any(s is None or not s.has_min_max and s.num_values for s in stats):
                     return None
