@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.operators import chunking, joins
@@ -65,14 +65,27 @@ def agg_basic(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*aggs)
 
 
+def _medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, middle): of each group the least value that half of the values don't exceed, from counts of different values: of stretches of values first, then of those in the median's."""
+    path = scratch(df.sparkSession)
+    df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n")).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path).withColumn("b", F.floor("v"))
+    w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.groupBy("g", "b").agg(F.sum("n").alias("n")).select("g", "b", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy("g")).alias("total"))
+    at = upto.filter("before * 2 < total AND upto * 2 >= total").select(F.col("g").alias("h"), F.col("b").alias("c"), "before", "total")
+    some = counts.join(F.broadcast(at), F.col("g").eqNullSafe(F.col("h")) & (F.col("b") == F.col("c")))  # a row for each group
+    reached = F.col("before") + F.sum("n").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return some.withColumn("reached", reached).filter("reached * 2 >= total").groupBy(F.col("g").alias(by)).agg(F.min("v").alias("middle"))
+
+
 @query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, quantile_disc(l_extendedprice, 0.5) AS middle, TRUE AS parts_near, TRUE AS middle_near FROM lineitem GROUP BY l_returnflag")
 def agg_approx(spark, sf_dir):
     """Sketches against what they estimate: distinct values within a tenth, the rank of the median within a hundredth."""
     l = read(spark, sf_dir, "lineitem")
-    both = l.groupBy("l_returnflag").agg(
-        F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("about"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("middle"), F.percentile_approx("l_extendedprice", [0.49, 0.51], 10_000).alias("near"),
-    )
+    near = l.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("about"), F.percentile_approx("l_extendedprice", [0.49, 0.51], 10_000).alias("near"))
+    parts = l.select("l_returnflag", "l_partkey").distinct().groupBy(F.col("l_returnflag").alias("f1")).agg(F.count("l_partkey").alias("parts"))
+    middle = _medians(l, "l_returnflag", "l_extendedprice").select(F.col("l_returnflag").alias("f2"), "middle")
+    both = near.join(parts, F.col("l_returnflag").eqNullSafe(F.col("f1"))).join(middle, F.col("l_returnflag").eqNullSafe(F.col("f2")), "left")
     return both.select("l_returnflag", "parts", "middle", (F.abs(F.col("about") - F.col("parts")) <= F.col("parts") * 0.1).alias("parts_near"), F.col("middle").between(F.col("near")[0], F.col("near")[1]).alias("middle_near"))
 
 
