@@ -120,6 +120,10 @@ class ScanStats:
 STATS = ScanStats()
 
 
+#: Rows of a file, which a task sorts, beyond which there are more files than asked for.
+ROWS = 1 << 21
+
+
 class KeyTable:
     def __init__(self, spark: SparkSession, path: str, version: int | None = None):
         """The table at path, at its latest version or a given one."""
@@ -250,7 +254,7 @@ class KeyTable:
     def _clustered(self, df: DataFrame, files: int | None = None) -> DataFrame:
         if not self.manifest.key:
             return df
-        n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = max(files or int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
         return df.repartitionByRange(n, *self._order()).sortWithinPartitions(*self._order())
 
     def _folder(self) -> str:
