@@ -532,9 +532,15 @@ class KeyTable:
             added = self._physical(added)
             made = self._write(self._clustered(added))
 
+            # what becomes of a key, each once: one pass over the files' rows
+            new = df.select(*keys, *(F.col(f"`{c}`").alias(f"__new{i}") for i, c in enumerate(rest)), F.lit(False).alias("__gone"))
+            if gone is not None:
+                new = new.unionByName(dead.withColumn("__gone", F.lit(True)), allowMissingColumns=True)
+            at = {c: f"__new{i}" for i, c in enumerate(rest)}
+
             def changed(rows: DataFrame) -> DataFrame:
-                stay = rows.join(touched, keys, "left_anti").select(*names, "__stretch")
-                return stay.union(df.join(rows.select(*keys, "__stretch"), keys).select(*names, "__stretch"))
+                both = rows.join(new, keys, "left").filter(~F.coalesce("__gone", F.lit(False)))
+                return both.select(*(F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(F.col(at[c])).alias(c) if c in at else F.col(f"`{c}`") for c in names), "__stretch")
 
             if not old and not made:
                 self.store.unmark(self._open)
