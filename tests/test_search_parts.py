@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.functions.vectors import cosine_distances
+from keystrata.functions.vectors import cosine_distance, cosine_distances
 from keystrata.operators import ann, graph, quantize
 
 
@@ -64,3 +64,19 @@ def test_the_truth_of_a_ceiling_is_found_once(spark, some):
     truth = ann.exact_many(df.limit(60), queries, 3).select("query_id", "id").mapInArrow(counted, "query_id long, id long")
     placed, probes = df.select("id", F.lit(0).alias("partition_id")), queries.select("query_id", F.lit(1).alias("r"), F.lit(0).alias("partition_id"))
     assert graph.route_ceiling(truth, placed, probes).first()["ceiling"] == 1 and seen.value == 1200
+
+
+def test_pairs_of_a_label_meet_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    v = [x.tolist() for x in r.normal(size=(200, 6)).astype(np.float32)]
+    rows = [(i, x, 0 if i < 150 else i % 3) for i, x in enumerate(v)]
+    rows += [(3, v[9], 0), (None, v[1], 0), (500, v[1], None), (501, None, 0), (502, [0.0] * 6, 0), (503, [1.0, 2.0], 7)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, label int")
+    x, y = df.toDF("a", "u", "label"), df.toDF("b", "w", "label")
+    plain = lambda t: sorted((p["a"], p["b"], str(p["distance"])) for p in t.collect())
+    want = plain(x.join(y, "label").filter("a < b").select("a", "b", F.round(cosine_distance("u", "w"), 9).alias("distance")))
+    monkeypatch.setattr(ann, "PAIRED", 40)
+    found = ann.pairs(df)
+    assert plain(found) == want and len(want) > 10_000
+    with pytest.raises(Exception, match="different vector dimensions"):
+        ann.pairs(spark.createDataFrame([(1, [1.0], 0), (2, [1.0, 2.0], 0)], "id long, embedding array<float>, label int")).collect()
