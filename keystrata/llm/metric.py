@@ -44,6 +44,10 @@ PIVOT_BYTES = 64 << 20
 #: Visitors of a shard at once.
 BLOCK = 2048
 LEAF = 128
+#: Vectors of a cover tree's leaf: a few, or many if the distance is so wide that bounds rule out little among vectors in all directions.
+FEW, MANY = 16, 256
+#: Pairs of vectors that are cheaper compared than followed down two trees.
+SMALL = 1 << 16
 SLACK = 1e-6
 #: Values of a matrix that is worked on at once.
 AREA = 1 << 20
@@ -229,6 +233,14 @@ def _parted(visits: DataFrame, shards: int) -> DataFrame:
     return visits.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "visitor")
 
 
+#: The distance at which two vectors are orthogonal, as most of those in all directions nearly are.
+ACROSS = 2**0.5
+
+
+def _leaf(reach: float) -> int:
+    return FEW if 2 * reach <= ACROSS else MANY
+
+
 class Node:
     """A node of a cover tree: its centre, the greatest distance of its vectors from it, and its children.
 
@@ -245,14 +257,15 @@ class Node:
 
     def settle(self, leaf: int, reach: float) -> None:
         """flat and wide from the children."""
-        flat = [c for c in self.children if len(c.members) == 1 or (len(c.members) <= leaf and c.radius > reach)]
-        self.wide = [c for c in self.children if not (len(c.members) == 1 or (len(c.members) <= leaf and c.radius > reach))]
+        most = min(reach, max(0.0, ACROSS - reach))
+        flat = [c for c in self.children if len(c.members) == 1 or (len(c.members) <= leaf and c.radius > most)]
+        self.wide = [c for c in self.children if not (len(c.members) == 1 or (len(c.members) <= leaf and c.radius > most))]
         self.flat = np.concatenate([c.members for c in flat]) if flat else np.empty(0, np.int64)
         self.centres = np.array([c.centre for c in self.wide], np.int64)
         self.radii = np.array([c.radius for c in self.wide])
 
 
-def cover_tree(v: np.ndarray, members: np.ndarray | None = None, centre: int = 0, level: float = 2.0, leaf: int = 16, reach: float = 0.0) -> Node:
+def cover_tree(v: np.ndarray, members: np.ndarray | None = None, centre: int = 0, level: float = 2.0, leaf: int = FEW, reach: float = 0.0) -> Node:
     """members is all vectors by default; level is a radius that covers them from the centre; reach the distance that is asked for."""
     if members is None:
         members = np.arange(len(v))
@@ -330,7 +343,7 @@ def dual(a: Node, b: Node, v: np.ndarray, low: np.ndarray, similar: float, links
     """Counts the pairs of vectors below a and b whose cosine is similar; if a is b, each pair once. low is v in 32 bits."""
     reach = float(_distance(np.array(similar)))
     far, sure = reach + SLACK, reach - SLACK
-    screen = np.float32(similar - 1e-5)  # more than 32 bits can err by
+    screen, certain = np.float32(similar - 1e-5), np.float32(similar + 1e-5)  # more than 32 bits can err by
 
     def flat(x: np.ndarray, y: np.ndarray, same: bool = False) -> None:
         if not len(x) or not len(y):
@@ -338,12 +351,16 @@ def dual(a: Node, b: Node, v: np.ndarray, low: np.ndarray, similar: float, links
         step = max(1, AREA // len(y))
         for i in range(0, len(x), step):
             rest = y[i:] if same else y
-            p, q = np.divmod(np.flatnonzero(low[x[i : i + step]] @ low[rest].T >= screen), len(rest))
+            cosine = (low[x[i : i + step]] @ low[rest].T).ravel()
+            at = np.flatnonzero(cosine >= screen)
+            p, q = np.divmod(at, len(rest))
             if same:  # the upper triangle
-                p, q = p[q > p], q[q > p]
+                at, p, q = at[q > p], p[q > p], q[q > p]
             if len(p):
                 p, q = x[i + p], rest[q]
-                good = np.round(np.einsum("ij,ij->i", v[p], v[q]), 9) >= similar
+                good = cosine[at] >= certain
+                open_ = np.flatnonzero(~good)
+                good[open_] = np.round(np.einsum("ij,ij->i", v[p[open_]], v[q[open_]]), 9) >= similar
                 links.pairs(p[good], q[good])
 
     todo: list[tuple[Node, Node | np.ndarray]] = [(a, b)]
@@ -355,13 +372,18 @@ def dual(a: Node, b: Node, v: np.ndarray, low: np.ndarray, similar: float, links
             if whole.any():
                 links.whole(a.members, b[whole])
             b = b[~whole & (d <= far + a.radius)]
-            if len(b):
+            if len(a.members) * len(b) <= SMALL:
+                flat(a.members, b)
+            elif len(b):
                 flat(a.flat, b)
                 todo += [(x, b) for x in a.wide]
         elif a is b:
             if 2 * a.radius <= sure:
                 links.whole(a.members)
                 continue
+            if len(a.members) ** 2 <= SMALL:
+                flat(a.members, a.members, True)
+                continue
             flat(a.flat, a.flat, True)
             for i, x in enumerate(a.wide):
                 todo += [(x, a.flat), (x, x)]
@@ -372,6 +394,9 @@ def dual(a: Node, b: Node, v: np.ndarray, low: np.ndarray, similar: float, links
             if d + a.radius + b.radius <= sure:
                 links.whole(a.members, b.members)
                 continue
+            if len(a.members) * len(b.members) <= SMALL:
+                flat(a.members, b.members)
+                continue
             flat(a.flat, b.flat)
             todo += [(x, b.flat) for x in a.wide if len(b.flat)] + [(y, a.flat) for y in b.wide if len(a.flat)]
             if a.wide and b.wide:
@@ -425,13 +450,13 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
             if not visits:
                 here, at = h, shard
                 n, low = len(h.ids), h.v.astype(np.float32)
-                tree, total = cover_tree(h.v, reach=reach), Links(h.bound.astype(np.int64))
+                tree, total = cover_tree(h.v, leaf=_leaf(reach), reach=reach), Links(h.bound.astype(np.int64))
                 dual(tree, tree, h.v, low, similar, total)
             elif here is not None and at == shard:
                 both = np.concatenate((here.v, h.v))
                 links = Links(np.concatenate((here.bound, h.bound)).astype(np.int64))
                 links.root[:n] = total.root
-                other = cover_tree(both, np.arange(n, len(both)), n, reach=reach)
+                other = cover_tree(both, np.arange(n, len(both)), n, leaf=_leaf(reach), reach=reach)
                 dual(tree, other, both, np.concatenate((low, h.v.astype(np.float32))), similar, links)
                 total.count += links.count[:n]
                 total.root[:] = links.root[:n]

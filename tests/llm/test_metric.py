@@ -148,3 +148,23 @@ def test_cover_tree_covers_and_halves():
                 look(c, level / 2)
 
     look(metric.cover_tree(v, leaf=4), 2.0)
+
+
+def test_wide_distances_are_compared_in_large_blocks(monkeypatch):
+    r = np.random.default_rng(12)
+    v = metric._unit(np.concatenate((r.normal(size=(1500, 32)), np.repeat(r.normal(size=(3, 32)), 300, 0) + 1e-3 * r.normal(size=(900, 32)))))
+    v, n = v[r.permutation(len(v))], 1600
+    similar = 0.35
+    reach = float(metric._distance(np.array(similar))) + metric.SLACK
+    a = metric.cover_tree(v, np.arange(n), 0, leaf=metric._leaf(reach), reach=reach)
+    b = metric.cover_tree(v, np.arange(n, len(v)), n, leaf=metric._leaf(reach), reach=reach)
+    steps, plain = [], metric._distance
+    monkeypatch.setattr(metric, "_distance", lambda x: steps.append(1) or plain(x))
+    own, both = metric.Links(np.ones(len(v), np.int64)), metric.Links(np.ones(len(v), np.int64))
+    metric.dual(a, a, v, v.astype(np.float32), similar, own)
+    metric.dual(a, b, v, v.astype(np.float32), similar, both)
+    near = np.round(v @ v.T, 9) >= similar
+    np.fill_diagonal(near, False)
+    assert own.count[:n].tolist() == near[:n, :n].sum(1).tolist()
+    assert both.count.tolist() == [*near[:n, n:].sum(1), *near[n:, :n].sum(1)]
+    assert len(steps) < 2000  # nodes that are followed, of the many small ones
